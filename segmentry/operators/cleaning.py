@@ -47,18 +47,24 @@ def clean_columns(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     )
 
 
-def label_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, value, rows, share)`` of every label of every given column.
+def label_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, value, rows)`` of every label of every given column, in one scan.
 
-    All columns are counted in one scan. Labels are counted per input partition
-    before the shuffle, so a label that holds most of the rows costs one row per
-    partition. The NULL label is listed and counts in the total. The totals have
-    one row per column of the table and are safe to broadcast.
+    Labels are counted per input partition before the shuffle, so a label that
+    holds most of the rows costs one row per partition. NULL is listed too.
     """
     cells = df.select(*[as_column(c).cast("string").alias(c) for c in columns]).unpivot(
         [], [quoted(c) for c in columns], "column", "value"
     )
-    counts = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
+    return cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def label_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, value, rows, share)``; the NULL label counts in the total.
+
+    The totals have one row per column of the table and are safe to broadcast.
+    """
+    counts = label_counts(df, columns)
     totals = counts.groupBy("column").agg(F.sum("rows").alias("total"))
     return counts.join(F.broadcast(totals), "column").select(
         "column", "value", "rows", (F.col("rows") / F.col("total")).alias("share")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import as_column, grouped, indicator
 from ..spec import METRICS, DatasetSpec, LabelGroups
-from .cleaning import fill_missing, normalize_columns, normalize_names, require_columns
+from .cleaning import fill_missing, label_counts, normalize_columns, normalize_names, require_columns
 from .entities import entity_table
 
 MAX_LABELS = 1_000
@@ -45,20 +45,18 @@ class Vocabulary:
 
         Every label becomes a column, so the limit guards the width of the table.
         """
-        cells = (
-            df.select(*[as_column(c).cast("string").alias(c) for c in columns])
-            .unpivot([], [as_column(c) for c in columns], "column", "value")
+        found = (
+            label_counts(df, columns)
             .filter(F.col("value").isNotNull())
-            .distinct()
+            .select("column", "value")
+            .limit(len(columns) * max_labels + 1)
+            .collect()
         )
-        sizes = {r["column"]: r["count"] for r in cells.groupBy("column").count().collect()}
-        wide = {c: n for c, n in sizes.items() if n > max_labels}
+        labels = {c: sorted(r["value"] for r in found if r["column"] == c) for c in columns}
+        wide = sorted(c for c, values in labels.items() if len(values) > max_labels)
         if wide:
             raise ValueError(f"too many labels for dummies (limit {max_labels}): {wide}")
-        labels = {c: [] for c in columns}
-        for row in cells.collect():
-            labels[row["column"]].append(row["value"])
-        return cls({c: tuple(sorted(v)) for c, v in labels.items()})
+        return cls({c: tuple(values) for c, values in labels.items()})
 
     def transform(self, df: DataFrame) -> DataFrame:
         return fixed_dummies(df, self.labels, null_label=None)

@@ -147,16 +147,19 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int | None
     return numbers.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
-def profile_report(df: DataFrame, spec: DatasetSpec) -> dict[str, DataFrame]:
-    """All sections of the profile of a cleaned transaction table."""
+def profile_report(df: DataFrame, spec: DatasetSpec, digits: int = 2) -> dict[str, DataFrame]:
+    """All sections of the profile of a cleaned transaction table, by name.
+
+    Pass a stored table: each section is a scan of its own over a few columns.
+    """
     numeric = list(spec.numeric)
     sentinel = spec.sentinels[0] if spec.sentinels else "None"
     return {
         "missing_counts": missing_counts(df, list(spec.columns), sentinel),
-        "numeric_summary": numeric_summary(df, numeric),
-        "category_frequency": category_frequency(df, list(spec.profiled_categories)),
+        "numeric_summary": numeric_summary(df, numeric, digits),
+        "category_frequency": category_frequency(df, list(spec.profiled_categories), digits),
         "numeric_moments": numeric_moments(df, numeric),
         "risk_patterns": risk_patterns(df, spec),
         "entity_behavior": entity_behavior(df, spec),
-        "correlation_matrix": correlation_matrix(df, numeric),
+        "correlation_matrix": correlation_matrix(df, numeric, digits=6),
     }

@@ -20,7 +20,7 @@ from ..functions.expressions import as_column, quoted, to_number
 
 # Values (rows x columns) of one group that fit one percentile buffer.
 BUFFERED_VALUES = 2_000_000
-SUBRANGES = 1024
+SUBRANGES = 4096
 MAX_GROUPS = 10_000
 
 
@@ -49,107 +49,88 @@ def _buffered(column: str, lower: bool):
 
 
 def _searched(numbers: DataFrame, group: str, columns: Sequence[str], lower: bool) -> DataFrame:
+    """Search all medians at once; the state is one entry per group and column."""
     spark = numbers.sparkSession
     key_type = numbers.schema[group].dataType
-    cells = numbers.select(as_column(group).alias("g"), *[as_column(c) for c in columns]).unpivot(
-        ["g"], [quoted(c) for c in columns], "feature", "value"
-    )
-    cells = cells.filter(F.col("value").isNotNull())
     state_type = T.StructType(
         [
-            T.StructField("g", key_type),
-            T.StructField("feature", T.StringType()),
+            T.StructField("sg", key_type),
+            T.StructField("sf", T.IntegerType()),
             T.StructField("rank", T.LongType()),
-            T.StructField("even", T.BooleanType()),
             T.StructField("below", T.LongType()),
-            T.StructField("inside", T.LongType()),
             T.StructField("lo", T.DoubleType()),
             T.StructField("hi", T.DoubleType()),
         ]
     )
-    names = state_type.fieldNames()
-    n = F.count(F.lit(1))
-    start = cells.groupBy("g", "feature").agg(
-        F.floor((n + 1) / 2).alias("rank"),
-        (n % 2 == 0).alias("even"),
-        F.lit(0).cast("long").alias("below"),
-        n.alias("inside"),
-        F.min("value").alias("lo"),
-        F.max("value").alias("hi"),
+    positions = range(len(columns))
+    cells = numbers.select(
+        as_column(group).alias("g"), F.posexplode(F.array(*[as_column(c) for c in columns])).alias("f", "value")
+    ).filter(F.col("value").isNotNull())
+
+    ranges = numbers.groupBy(as_column(group).alias("g")).agg(
+        *[F.count(as_column(c)).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.min(as_column(c)).alias(f"lo{i}") for i, c in enumerate(columns)],
+        *[F.max(as_column(c)).alias(f"hi{i}") for i, c in enumerate(columns)],
     )
-    open_, found = [], []
-
-    def settle(rows):
-        # One row per group and column: bounded, whatever the number of values.
-        open_.clear()
-        for row in rows:
-            (found if row["lo"] == row["hi"] else open_).append(tuple(row[c] for c in names))
-
-    settle(start.select(*names).collect())
-    while open_:
-        state = spark.createDataFrame(open_, state_type)
-        settle(_narrow(cells, state).select(*names).collect())
-
-    lower_of = {(r[0], r[1]): r for r in found}
-    straddling = [r for r in found if not lower and r[3] and r[4] + r[5] == r[2]]
-    upper_of = {}
-    if straddling:
-        state = spark.createDataFrame(straddling, state_type).withColumnRenamed("g", "sg")
-        above = (
-            _in_state(cells, state.select("sg", F.col("feature").alias("sf"), "hi"))
-            .filter(F.col("value") > F.col("hi"))
-            .groupBy("g", "feature")
-            .agg(F.min("value").alias("next"))
-        )
-        upper_of = {(r["g"], r["feature"]): r["next"] for r in above.collect()}
-
-    groups = [r[0] for r in numbers.select(as_column(group)).distinct().collect()]
-    out = []
-    for g in groups:
-        row = [g]
-        for c in columns:
-            hit = lower_of.get((g, c))
-            low = hit[6] if hit else None
-            high = upper_of.get((g, c), low)
-            row.append(None if low is None else low if low == high else (low + high) / 2.0)
-        out.append(tuple(row))
+    groups, total, below, inside, lo, hi = [], {}, {}, {}, {}, {}
+    for row in ranges.collect():
+        groups.append(row["g"])
+        for i in positions:
+            if row[f"n{i}"]:
+                at = (row["g"], i)
+                total[at], below[at], inside[at] = row[f"n{i}"], 0, row[f"n{i}"]
+                lo[at], hi[at] = row[f"lo{i}"], row[f"hi{i}"]
+
+    def state(entries) -> DataFrame:
+        rows = [(*at, (total[at] + 1) // 2, below[at], lo[at], hi[at]) for at in entries]
+        return spark.createDataFrame(rows, state_type)
+
+    while unsettled := [at for at in total if lo[at] < hi[at]]:
+        for row in _narrow(_in_state(cells, state(unsettled))).collect():
+            at = (row["g"], row["f"])
+            below[at], inside[at], lo[at], hi[at] = row["below"], row["inside"], row["lo"], row["hi"]
+
+    # An even count whose middle falls between two values also needs the next one.
+    upper = dict(lo)
+    split = [at for at, n in total.items() if not lower and n % 2 == 0 and below[at] + inside[at] == n // 2]
+    if split:
+        above = _in_state(cells, state(split)).filter(F.col("value") > F.col("hi"))
+        for row in above.groupBy("g", "f").agg(F.min("value").alias("next")).collect():
+            upper[row["g"], row["f"]] = row["next"]
+
+    def median(at):
+        return None if at not in lo else lo[at] / 2 + upper[at] / 2 if lo[at] != upper[at] else lo[at]
+
+    rows = [(g, *[median((g, i)) for i in positions]) for g in groups]
     fields = [T.StructField(group, key_type)] + [T.StructField(c, T.DoubleType()) for c in columns]
-    return spark.createDataFrame(out, T.StructType(fields))
+    return spark.createDataFrame(rows, T.StructType(fields))
 
 
 def _in_state(cells: DataFrame, state: DataFrame) -> DataFrame:
-    """Cells of the groups and columns in the (broadcast, at most groups x columns) state."""
-    return cells.join(
-        F.broadcast(state), F.col("g").eqNullSafe(F.col("sg")) & (F.col("feature") == F.col("sf"))
-    ).drop("sg", "sf")
+    """Cells with the state of their group and column, which is safe to broadcast."""
+    return cells.join(F.broadcast(state), F.col("g").eqNullSafe(F.col("sg")) & (F.col("f") == F.col("sf")))
 
 
-def _narrow(cells: DataFrame, state: DataFrame) -> DataFrame:
+def _narrow(cells: DataFrame) -> DataFrame:
     """One search round: the sub-range of each open range that holds the rank."""
-    open_ranges = state.withColumnRenamed("g", "sg").withColumnRenamed("feature", "sf").drop("inside")
-    hits = _in_state(cells, open_ranges).filter(F.col("value").between(F.col("lo"), F.col("hi")))
     # Halved first, so that the width of a range cannot overflow.
-    width = F.col("hi") / 2 - F.col("lo") / 2
-    position = F.floor(F.try_divide(F.col("value") / 2 - F.col("lo") / 2, width) * SUBRANGES)
-    per_part = (
-        hits.withColumn("part", F.coalesce(F.least(position, F.lit(SUBRANGES - 1)), F.lit(0)))
-        .groupBy("g", "feature", "rank", "even", "below", "part")
-        .agg(F.count(F.lit(1)).alias("inside"), F.min("value").alias("vlo"), F.max("value").alias("vhi"))
+    offset = F.col("value") / 2 - F.col("lo") / 2
+    position = F.floor(F.try_divide(offset, F.col("hi") / 2 - F.col("lo") / 2) * SUBRANGES)
+    parts = (
+        cells.filter(F.col("value").between(F.col("lo"), F.col("hi")))
+        .groupBy("g", "f", F.least(position, F.lit(SUBRANGES - 1)).alias("part"))
+        .agg(
+            F.count(F.lit(1)).alias("inside"),
+            F.min("value").alias("lo"),
+            F.max("value").alias("hi"),
+            F.first("rank").alias("rank"),
+            F.first("below").alias("below"),
+        )
     )
     # At most SUBRANGES rows per group and column reach this window.
-    in_order = Window.partitionBy("g", "feature").orderBy("part")
-    upto = F.col("below") + F.sum("inside").over(in_order)
+    upto = F.sum("inside").over(Window.partitionBy("g", "f").orderBy("part"))
     return (
-        per_part.withColumn("upto", upto)
-        .filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("inside") < F.col("rank")))
-        .select(
-            "g",
-            "feature",
-            "rank",
-            "even",
-            (F.col("upto") - F.col("inside")).alias("below"),
-            "inside",
-            F.col("vlo").alias("lo"),
-            F.col("vhi").alias("hi"),
-        )
+        parts.withColumn("below", F.col("below") + upto - F.col("inside"))
+        .filter((F.col("below") < F.col("rank")) & (F.col("below") + F.col("inside") >= F.col("rank")))
+        .select("g", "f", "below", "inside", "lo", "hi")
     )

@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import as_column
 from ..sources.tables import RANKING_SCHEMA
-from .segmentation import Segmentation, SweepOptions, fixed_layout, segment
+from .cleaning import label_counts
+from .segmentation import ROWS_PER_PARTITION, Segmentation, SweepOptions, fixed_layout, segment
 
 MAX_INDEX_LABELS = 1_000
 
+# Growing a hundred trees is heavy work per row: small tables get more, smaller
+# partitions than they would for a scan.
+SMALL_PARTITION = 2_000
+SMALL_PARTITIONS = 32
+
+
+def forest_partitions(rows: int) -> int:
+    small = min(math.ceil(max(rows, 1) / SMALL_PARTITION), SMALL_PARTITIONS)
+    return max(small, math.ceil(rows / ROWS_PER_PARTITION))
+
 
 @dataclass(frozen=True)
 class Ranking:
@@ -30,20 +42,21 @@ def string_index(
     """Adds ``column_idx``: 0 for the most frequent label, ties by label.
 
     NULL and labels not seen in the fit get one extra index. The fitted labels
-    live on the driver and in every tree split, so a column with clearly more
-    than ``max_labels`` labels is an error.
+    live on the driver and in every tree split, so a column with more than
+    ``max_labels`` labels is an error, found before more of them are collected.
     """
-    sizes = df.agg(*[F.approx_count_distinct(as_column(c), 0.02).alias(c) for c in columns]).first().asDict()
-    wide = {c: n for c, n in sizes.items() if n > max_labels * 1.1}
+    counts = label_counts(df, columns).filter(F.col("value").isNotNull())
+    found = counts.limit(len(columns) * max_labels + 1).collect()
+    labels = {c: [(-r["rows"], r["value"]) for r in found if r["column"] == c] for c in columns}
+    wide = sorted(c for c, pairs in labels.items() if len(pairs) > max_labels)
     if wide:
         raise ValueError(f"too many labels to index (limit {max_labels}): {wide}")
-    indexer = StringIndexer(
+    model = StringIndexerModel.from_arrays_of_labels(
+        [[label for _, label in sorted(labels[c])] for c in columns],
         inputCols=list(columns),
         outputCols=[f"{c}_idx" for c in columns],
         handleInvalid="keep",
-        stringOrderType="frequencyDesc",
     )
-    model = indexer.fit(df)
     return model, model.transform(df)
 
 
@@ -63,7 +76,7 @@ def rank_features(
     follow the order in which the vector was assembled.
     """
     table = df.select(*[as_column(c) for c in dict.fromkeys([*([key] if key else []), label, *numeric, *categorical])])
-    table = fixed_layout(table, key or label, partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    table = fixed_layout(table, key or label, partitions or forest_partitions(table.count())).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         indexed, bins = table, 32
         if categorical:

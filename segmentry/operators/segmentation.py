@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import partial
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
@@ -19,6 +21,9 @@ from ..spec import ShareRule
 from .cleaning import fill_missing
 from .quantiles import BUFFERED_VALUES, group_medians
 
+# Every KMeans iteration runs one task per partition: some tens of MB of vectors each.
+ROWS_PER_PARTITION = 100_000
+
 SWEEP_SCHEMA = "k int, segments int, silhouette double, min_share double, max_share double, accepted boolean"
 
 
@@ -26,15 +31,15 @@ SWEEP_SCHEMA = "k int, segments int, silhouette double, min_share double, max_sh
 class SweepOptions:
     """Numbers of segments to try, the acceptance rule, and how to run the fits.
 
-    ``partitions`` fixes the layout the fits see (default: the session's number
-    of shuffle partitions); ``parallelism`` fits run at the same time.
+    ``partitions`` fixes the layout the fits see (default: from the number of
+    rows); ``parallelism`` fits run at the same time.
     """
 
     ks: Sequence[int] = tuple(range(2, 21))
     rule: ShareRule = field(default_factory=ShareRule)
     seed: int = 42
     partitions: int | None = None
-    parallelism: int = 4
+    parallelism: int = 8
 
 
 @dataclass(frozen=True)
@@ -52,9 +57,10 @@ def fixed_layout(df: DataFrame, key: str, partitions: int | None = None) -> Data
 
     KMeans and forests draw per partition, so a seed alone does not make them
     reproducible. Rows are spread by all their columns: a key with many versions
-    does not end up in one partition.
+    does not end up in one partition. By default the number of partitions follows
+    from the number of rows alone.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or math.ceil(max(df.count(), 1) / ROWS_PER_PARTITION)
     columns = [as_column(key), *[as_column(c) for c in df.columns if c != key]]
     return df.repartition(n, *columns).sortWithinPartitions(*columns)
 
@@ -97,13 +103,15 @@ def share_rule(shares: DataFrame, rule: ShareRule) -> DataFrame:
 def k_sweep(scaled: DataFrame, options: SweepOptions = SweepOptions()) -> list[dict]:
     """Fit and score every number of segments; one entry each, accepted or not.
 
-    ``scaled`` should be cached, since every fit iterates over it. The fits are
-    distributed jobs; a few of them share the cluster at a time, like the
-    candidates of a cross validation.
+    An entry keeps its fitted model (the centres only), so the chosen one needs
+    no second fit. ``scaled`` should be cached, since every fit iterates over it.
+    The fits are distributed jobs; a few of them share the cluster at a time, like
+    the candidates of a cross validation.
     """
 
     def score(k: int) -> dict:
-        predictions = fit_kmeans(scaled, k, options.seed).transform(scaled).select("prediction", "features")
+        model = fit_kmeans(scaled, k, options.seed)
+        predictions = model.transform(scaled).select("prediction", "features")
         sizes = [r["count"] for r in predictions.groupBy("prediction").count().collect()]
         total = sum(sizes)
         value = silhouette(predictions) if len(sizes) > 1 else None
@@ -115,12 +123,15 @@ def k_sweep(scaled: DataFrame, options: SweepOptions = SweepOptions()) -> list[d
             "min_share": smallest,
             "max_share": largest,
             "accepted": value is not None and options.rule.accepts(smallest, largest, value),
+            "model": model,
         }
 
     if options.parallelism <= 1:
         return [score(k) for k in options.ks]
     with ThreadPool(min(options.parallelism, len(options.ks))) as pool:
-        return pool.map(inheritable_thread_target(scaled.sparkSession)(score), options.ks)
+        # Wrapped one by one: each fit needs its own copy of the thread's job properties.
+        fits = [inheritable_thread_target(scaled.sparkSession)(partial(score, k)) for k in options.ks]
+        return pool.map(lambda fit: fit(), fits, chunksize=1)
 
 
 def best_k(sweep: Sequence[dict], rule: ShareRule | None = None) -> dict:
@@ -140,7 +151,7 @@ def sweep_table(spark, sweep: Sequence[dict]) -> DataFrame:
 def segment(
     df: DataFrame, features: Sequence[str], key: str, options: SweepOptions = SweepOptions()
 ) -> Segmentation:
-    """Scale, sweep, choose the best accepted number of segments, and assign all rows.
+    """Scale, sweep, take the best accepted number of segments, and assign all rows.
 
     Missing features count as 0.0; no entity is dropped. ``df`` should be a
     stored table: the vectors cached from it are recomputed if an executor dies.
@@ -155,16 +166,15 @@ def segment(
         table.unpersist()
         sweep = k_sweep(vectors, options)
         chosen = best_k(sweep, options.rule)
-        model = fit_kmeans(vectors, chosen["k"], options.seed)
     finally:
         vectors.unpersist()
         table.unpersist()
     return Segmentation(
-        predictions=model.transform(scaled),
+        predictions=chosen["model"].transform(scaled),
         best_k=chosen["k"],
         silhouette=chosen["silhouette"],
         sweep=sweep_table(df.sparkSession, sweep),
-        model=model,
+        model=chosen["model"],
         scaler=scaler,
     )
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, locations, profiling
-from ..sources.staging import fresh_path
+from ..sources.staging import fresh_path, stage
 from ..sources.tables import load_report, save_report
 from .registry import query
 from .retail import RETAIL, raw_transactions, table, transactions
@@ -197,39 +200,37 @@ with o as (select o_orderstatus, lower(nullif(o_orderpriority, '4-NOT SPECIFIED'
 @query("profile_overview", OVERVIEW_SQL)
 def profile_overview(spark, folder):
     """The stored report, flattened: one row per section, column and metric."""
-    cleaned = cleaning.preprocess(raw_transactions(spark, folder), RETAIL)
+    cleaned = stage(cleaning.preprocess(raw_transactions(spark, folder), RETAIL), "cleaned")
     path = fresh_path(spark, "report")
-    save_report(profiling.profile_report(cleaned, RETAIL), path)
+    save_report(profiling.profile_report(cleaned, RETAIL, digits=6), path)
     report = load_report(spark, path, profiling.SECTIONS)
 
-    def rows(section, metric, value, column=F.col("column")):
+    def rows(section, column, metric, value):
         return report[section].select(
-            F.lit(section).alias("section"), column.alias("column"), metric.alias("metric"), value.cast("double").alias("value")
+            F.lit(section).alias("section"),
+            column.alias("column"),
+            metric.alias("metric"),
+            value.cast("double").alias("value"),
         )
 
     measured = ["o_orderstatus", "o_orderpriority", "o_totalprice", "c_acctbal", "c_mktsegment"]
+    column = F.col("column")
     parts = [
-        rows("missing_counts", F.lit("missing"), F.col("missing")).filter(F.col("column").isin(*measured)),
-        rows("numeric_summary", F.lit("count"), F.col("count")),
-        rows("category_frequency", F.coalesce("value", F.lit("NULL")), F.col("count")).filter(
-            F.col("column").isin("c_mktsegment", "o_orderpriority")
+        rows("missing_counts", column, F.lit("missing"), F.col("missing")).filter(column.isin(*measured)),
+        *[rows("numeric_summary", column, F.lit(m), F.col(m)) for m in ("count", "mean", "stddev")],
+        rows("category_frequency", column, F.coalesce("value", F.lit("NULL")), F.col("count")).filter(
+            column.isin("c_mktsegment", "o_orderpriority")
         ),
-        rows("correlation_matrix", F.lit("o_totalprice"), F.round("o_totalprice", 6)).filter(
-            F.col("column") == "c_acctbal"
+        rows("correlation_matrix", column, F.lit("o_totalprice"), F.col("o_totalprice")).filter(
+            column == "c_acctbal"
         ),
-        report["entity_behavior"].agg(F.count(F.lit(1)).cast("double").alias("value")).select(
-            F.lit("entity_behavior").alias("section"), F.lit("c_custkey").alias("column"), F.lit("entities").alias("metric"), "value"
+        report["entity_behavior"]
+        .agg(F.count(F.lit(1)).cast("double").alias("value"))
+        .select(
+            F.lit("entity_behavior").alias("section"),
+            F.lit("c_custkey").alias("column"),
+            F.lit("entities").alias("metric"),
+            "value",
         ),
     ]
-    # Rounded to two digits in the report, so mean and deviation are taken at full precision.
-    summary = profiling.numeric_summary(cleaned, list(RETAIL.numeric), digits=6)
-    parts += [
-        summary.select(
-            F.lit("numeric_summary").alias("section"), "column", F.lit(m).alias("metric"), F.col(m).alias("value")
-        )
-        for m in ("mean", "stddev")
-    ]
-    overview = parts[0]
-    for part in parts[1:]:
-        overview = overview.unionByName(part)
-    return overview
+    return reduce(DataFrame.unionByName, parts)

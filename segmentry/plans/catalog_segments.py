@@ -58,8 +58,8 @@ def standardize(spark, folder):
 
 def line_points(spark, folder):
     """Lines as 0/1 vectors: one distinct point per return flag and line status."""
-    lines = table(spark, folder, "lineitem").select("l_returnflag", "l_linestatus")
-    dummies = fitted_dummies(lines, ["l_returnflag", "l_linestatus"])
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    dummies = fitted_dummies(segmentation.fixed_layout(lines, "l_orderkey"), ["l_returnflag", "l_linestatus"])
     names = [c for c in dummies.columns if c not in lines.columns]
     return segmentation.standardize(dummies, names)[1]
 
