@@ -83,13 +83,14 @@ def category_frequency(df: DataFrame, columns: Sequence[str], digits: int | None
 
 
 def numeric_moments(
-    df: DataFrame, columns: Sequence[str], digits: int | None = None, accuracy: int = 10_000, exact_median: bool = False
+    df: DataFrame, columns: Sequence[str], digits: int | None = None, accuracy: int | None = None
 ) -> DataFrame:
     """``(column, mean, stddev, min, max, median, skewness, kurtosis)``.
 
-    Skewness and excess kurtosis are the population ones. The median is
-    approximate, with a relative rank error of ``1 / accuracy``; with
-    ``exact_median`` it is the exact lower median, searched in a few extra scans.
+    Skewness and excess kurtosis are the population ones. The median is the
+    exact lower one, searched in a few cheap scans. With ``accuracy`` it is an
+    approximate one instead, of relative rank error ``1 / accuracy``, in a single
+    scan that merges one digest per partition and column.
     """
 
     def measures(c):
@@ -99,13 +100,13 @@ def numeric_moments(
             ("stddev", _rounded(F.stddev_samp(x), digits)),
             ("min", _rounded(F.min(x), digits)),
             ("max", _rounded(F.max(x), digits)),
-            *([] if exact_median else [("median", _rounded(F.percentile_approx(x, 0.5, accuracy), digits))]),
+            *([] if accuracy is None else [("median", _rounded(F.percentile_approx(x, 0.5, accuracy), digits))]),
             ("skewness", _rounded(F.skewness(x), digits)),
             ("kurtosis", _rounded(F.kurtosis(x), digits)),
         ]
 
     moments = _one_row_per_column(df, columns, measures)
-    if not exact_median:
+    if accuracy is not None:
         return moments
     whole = df.select(F.lit(0).alias("__all"), *[as_column(c) for c in columns])
     medians = group_medians(whole, "__all", columns, lower=True)

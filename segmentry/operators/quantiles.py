@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,13 +33,20 @@ def group_medians(
     the mean of the two middle ones, or the smaller of them with ``lower``.
     """
     numbers = df.select(as_column(group).alias(group), *[to_number(c).alias(c) for c in columns])
-    sizes = numbers.groupBy(as_column(group)).agg(F.count(F.lit(1)).alias("rows"))
-    shape = sizes.agg(F.max("rows").alias("rows"), F.count(F.lit(1)).alias("groups")).first()
-    if (shape["rows"] or 0) * len(columns) <= buffered_values:
+    ranges = numbers.groupBy(as_column(group).alias("g")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count(as_column(c)).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.min(as_column(c)).alias(f"lo{i}") for i, c in enumerate(columns)],
+        *[F.max(as_column(c)).alias(f"hi{i}") for i, c in enumerate(columns)],
+    )
+    found = ranges.limit(MAX_GROUPS + 1).collect()
+    many = len(found) > MAX_GROUPS
+    largest = ranges.agg(F.max("rows")).first()[0] if many else max((r["rows"] for r in found), default=0)
+    if largest * len(columns) <= buffered_values:
         return numbers.groupBy(as_column(group)).agg(*[_buffered(c, lower).alias(c) for c in columns])
-    if shape["groups"] > MAX_GROUPS:
-        raise ValueError(f"{shape['groups']} groups: medians per group are meant for at most {MAX_GROUPS}")
-    return _searched(numbers, group, columns, lower)
+    if many:
+        raise ValueError(f"a group of {largest} rows among more than {MAX_GROUPS} groups: group by fewer segments")
+    return _searched(numbers, group, columns, found, lower)
 
 
 def _buffered(column: str, lower: bool):
@@ -48,7 +55,9 @@ def _buffered(column: str, lower: bool):
     return F.median(as_column(column))
 
 
-def _searched(numbers: DataFrame, group: str, columns: Sequence[str], lower: bool) -> DataFrame:
+def _searched(
+    numbers: DataFrame, group: str, columns: Sequence[str], ranges: Sequence[Row], lower: bool
+) -> DataFrame:
     """Search all medians at once; the state is one entry per group and column."""
     spark = numbers.sparkSession
     key_type = numbers.schema[group].dataType
@@ -67,13 +76,8 @@ def _searched(numbers: DataFrame, group: str, columns: Sequence[str], lower: boo
         as_column(group).alias("g"), F.posexplode(F.array(*[as_column(c) for c in columns])).alias("f", "value")
     ).filter(F.col("value").isNotNull())
 
-    ranges = numbers.groupBy(as_column(group).alias("g")).agg(
-        *[F.count(as_column(c)).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.min(as_column(c)).alias(f"lo{i}") for i, c in enumerate(columns)],
-        *[F.max(as_column(c)).alias(f"hi{i}") for i, c in enumerate(columns)],
-    )
     groups, total, below, inside, lo, hi = [], {}, {}, {}, {}, {}
-    for row in ranges.collect():
+    for row in ranges:
         groups.append(row["g"])
         for i in positions:
             if row[f"n{i}"]:
