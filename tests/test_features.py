@@ -1,0 +1,144 @@
+import pytest
+from pyspark.sql import functions as F
+
+from segmentry.functions import indicator_median
+from segmentry.operators import cleaning, entities, features
+from segmentry.plans.bank import BANK
+from segmentry.spec import METRICS
+
+DEFAULTS = {
+    "cli": "1", "tipo_cli": "Persona Natural", "estado_cli": "ACTIVO", "nivel_academico": "None",
+    "profn": "Medicina", "ocup": "Ganadero", "tipo_contrato": "None", "genero_cli": "F",
+    "tipo_vivienda": "propia", "pais_nacim": "colombia", "ing_mes": "1000", "egresos_mes": "500",
+    "origen_fondos": "x", "operac_moneda_extranjera": "n", "ciiu": "1", "nivel_riesgo_ciiu": "Alto",
+    "sociedad_ccial_civ": "None", "mun_res": "  BOGOTA D.C. ", "score_riesgo_mun": "2.5",
+    "trn_desc_tip_cta": "ahorro", "trn_oper": "credit", "trn_monto": "10", "trn_efec": "si",
+    "trn_canal_serv_efec": "cajero",
+}
+
+
+def bank_rows(spark, *changes):
+    rows = [tuple({**DEFAULTS, **c}[name] for name in BANK.columns) for c in changes]
+    return cleaning.clean_columns(spark.createDataFrame(rows, BANK.raw_schema()), BANK)
+
+
+def test_behaviour_of_an_entity(spark):
+    df = bank_rows(
+        spark,
+        {"trn_monto": "10"}, {"trn_monto": "20", "trn_efec": "no"}, {"trn_monto": "abc"},
+        {"cli": "2", "egresos_mes": "0"}, {"cli": "3", "trn_monto": "None", "ing_mes": "None"},
+    )
+    rows = {r["cli"]: tuple(r[m] for m in METRICS) for r in entities.entity_behavior(df, BANK).collect()}
+    assert rows["1"] == (15.0, 2, 2, 1000.0, 500.0, 2.0)
+    assert rows["2"] == (10.0, 1, 1, 1000.0, 0.0, None)
+    assert rows["3"] == (None, 0, 1, None, 500.0, None)
+
+
+def test_indicator_median_equals_median(spark):
+    df = spark.range(5_000).select((F.xxhash64("id") % 900).alias("k"), (F.xxhash64("id", F.lit(1)) % 2 == 0).cast("int").alias("b"))
+    both = df.groupBy("k").agg(F.median("b").alias("m"), indicator_median(F.sum("b"), F.count("b")).alias("i"))
+    assert both.filter("m <> i").count() == 0
+    assert both.filter("i = 0.5").count() > 0
+
+
+def test_entity_table_equals_distinct_joined_with_behaviour(spark):
+    df = bank_rows(
+        spark,
+        *[{"cli": str(i % 5), "trn_monto": str(i), "trn_efec": ["si", "no", "None"][i % 3]} for i in range(40)],
+        {"cli": "1", "estado_cli": "inactivo", "trn_monto": "7"},
+        {"cli": "None", "trn_monto": "5"},
+    )
+    wanted = entities.distinct_entities(df, list(BANK.entity_columns))
+    wanted = wanted.join(entities.entity_behavior(df, BANK), "cli", "left").join(entities.entity_medians(df, BANK), "cli", "left")
+    for limit in (1_000, 0):
+        table = entities.entity_table(df, BANK, broadcast_rows=limit)
+        assert sorted(map(str, table.select(*wanted.columns).collect())) == sorted(map(str, wanted.collect()))
+    joined = entities.entity_join(
+        entities.distinct_entities(df, list(BANK.entity_columns)), entities.entity_behavior(df, BANK), "cli"
+    )
+    assert joined.count() == 7
+
+
+def test_versions_of_one_entity_are_kept_and_listed(spark):
+    df = bank_rows(spark, {"estado_cli": "activo"}, {"estado_cli": "inactivo"}, {"cli": "2"})
+    columns = list(BANK.entity_columns)
+    assert entities.distinct_entities(df, columns).count() == 3
+    assert [tuple(r) for r in entities.entity_conflicts(df, "cli", columns).collect()] == [("1", 2)]
+
+
+def test_null_key_matches_nothing(spark):
+    df = bank_rows(spark, {"cli": "None"}, {"cli": "1"})
+    rows = {r["cli"]: r["transaction_count"] for r in entities.entity_table(df, BANK).collect()}
+    assert rows == {None: None, "1": 1}
+
+
+def test_dummies(spark):
+    df = spark.createDataFrame([("m",), ("f",), (None,), ("x",)], "g string")
+    out = features.fixed_dummies(df, {"g": ["m", "f", "None"]}).collect()
+    assert [tuple(r)[1:] for r in out] == [(1, 0, 0), (0, 1, 0), (0, 0, 1), (0, 0, 0)]
+    as_text = features.fixed_dummies(df, {"g": ["None"]}, null_label=None).collect()
+    assert all(r["g_None"] == 0 for r in as_text)
+
+
+def test_fitted_dummies_of_all_labels_sum_to_one(spark, small):
+    events = spark.read.parquet(f"{small}/events.parquet").select("event_type")
+    vocabulary = features.Vocabulary.fit(events, ["event_type"])
+    names = [f"event_type_{v}" for v in vocabulary.labels["event_type"]]
+    out = vocabulary.transform(events)
+    total = sum((F.col(n) for n in names), F.lit(0))
+    assert out.filter(total != 1).count() == 0
+    assert features.Vocabulary.fit(events.repartition(7), ["event_type"]) == vocabulary
+
+
+def test_too_many_labels_are_an_error(spark):
+    df = spark.range(50).select(F.col("id").cast("string").alias("c"))
+    with pytest.raises(ValueError, match="too many labels"):
+        features.fitted_dummies(df, ["c"], max_labels=49)
+    assert len(features.fitted_dummies(df, ["c"], max_labels=50).columns) == 51
+
+
+def test_label_groups(spark):
+    occupation, profession = BANK.label_groups
+    df = spark.createDataFrame(
+        [("ganadero", "medicina"), ("pensionado", "agronomia"), ("otra", "derecho"), (None, "artes"), ("?", None)],
+        "ocup string, profn string",
+    )
+    out = features.label_grouping(features.label_grouping(df, occupation), profession).collect()
+    assert [r["ocup_category"] for r in out] == ["Self-employed", "Non-working", "Others", "Others", "Others"]
+    assert [r["profn_category"] for r in out] == [
+        "STEM" if r["profn"] == "agronomia" else
+        {"medicina": "Health & Medicine", "derecho": "Business, Law & Administration",
+         "artes": "Arts, Humanities & Social Sciences", None: "Others"}[r["profn"]] for r in out
+    ]
+
+
+def test_bank_features_have_the_expected_names():
+    numeric, categorical = features.feature_names(BANK)
+    assert len(numeric) == 9 and len(categorical) == 50 and len(set(numeric + categorical)) == 59
+    assert {"mun_res_bogota_dc", "tipo_contrato_no_informa_no_tiene", "trn_efec_none_median",
+            "profn_category_arts_humanities_and_social_sciences", "ocup_category_self_employed"} <= set(categorical)
+
+
+def test_feature_table_of_the_bank(spark):
+    df = bank_rows(
+        spark,
+        {"trn_oper": "credit"}, {"trn_oper": "debit", "trn_efec": "None"},
+        {"cli": "2", "mun_res": "None", "ing_mes": "None", "egresos_mes": "0", "profn": "None"},
+    )
+    table = features.build_features(df, BANK)
+    assert table.columns[:4] == ["cli", "ing_mes", "egresos_mes", "score_riesgo_mun"]
+    assert not set(BANK.dummies) & set(table.columns)
+    ready = features.model_features(table, BANK)
+    rows = {r["cli"]: r for r in ready.collect()}
+    assert rows["1"]["trn_oper_credit_median"] == 0.5 and rows["1"]["trn_efec_none_median"] == 0.5
+    assert rows["1"]["mun_res_bogota_dc"] == 1 and rows["1"]["nivel_academico_none"] == 1
+    assert rows["1"]["profn_category_health_and_medicine"] == 1 and rows["1"]["ocup_category_self_employed"] == 1
+    assert rows["2"]["mun_res_none"] == 1 and rows["2"]["ing_mes"] == 0 and rows["2"]["income_expense_ratio"] == 0
+    assert rows["2"]["profn_category_others"] == 1
+    assert all(v is not None for r in rows.values() for v in r)
+
+
+def test_a_missing_feature_is_an_error(spark):
+    table = features.build_features(bank_rows(spark, {}), BANK).drop("genero_cli_f")
+    with pytest.raises(ValueError, match="genero_cli_f"):
+        features.model_features(table, BANK)
