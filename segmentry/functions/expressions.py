@@ -98,7 +98,7 @@ def key_hash(keys: Sequence[str]) -> Column:
     """Hex digest of the key values: a layout-independent pseudo-random order."""
     if len(keys) == 1:
         return F.md5(F.coalesce(as_column(keys[0]).cast("string"), F.lit("")))
-    return F.md5(F.to_json(F.struct(*[as_column(k) for k in keys]), {"ignoreNullFields": "false"}))
+    return F.md5(F.xxhash64(*[as_column(k) for k in keys]).cast("string"))
 
 
 def hash_bound(fraction: float) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import as_column, indicator, indicator_median, ratio
 from ..sources.staging import stage
 from ..spec import METRICS, DatasetSpec
-from .joins import BROADCAST_ROWS, attach, enrich, hot_keys
+from .joins import BROADCAST_CELLS, attach, enrich, hot_keys
 
 
 def distinct_entities(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -66,9 +66,9 @@ def entity_medians(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     )
 
 
-def entity_join(entities: DataFrame, metrics: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def entity_join(entities: DataFrame, metrics: DataFrame, key: str, broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
     """All entities with their metrics (one row per key); NULL keys match nothing."""
-    return enrich(entities, stage(metrics, "metrics"), key, "left", broadcast_rows)
+    return enrich(entities, stage(metrics, "metrics"), key, "left", broadcast_cells)
 
 
 def entity_rollup(df: DataFrame, spec: DatasetSpec) -> DataFrame:
@@ -107,7 +107,7 @@ def rollup_totals(rollup: DataFrame, spec: DatasetSpec) -> DataFrame:
     )
 
 
-def entity_table(df: DataFrame, spec: DatasetSpec, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def entity_table(df: DataFrame, spec: DatasetSpec, broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
     """Entity versions with the behaviour metrics and indicator medians of their key.
 
     Both the roll-up and its totals are stored in the shared folder: the
@@ -117,4 +117,4 @@ def entity_table(df: DataFrame, spec: DatasetSpec, broadcast_rows: int = BROADCA
     totals = stage(rollup_totals(rollup, spec), "entity-totals")
     versions = rollup.select(*[as_column(c) for c in spec.entity_columns])
     hot = hot_keys(totals, spec.entity, "__versions")
-    return attach(versions, totals.drop("__versions"), spec.entity, hot, "left", broadcast_rows=broadcast_rows)
+    return attach(versions, totals.drop("__versions"), spec.entity, hot, "left", broadcast_cells=broadcast_cells)

@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 from ..functions.expressions import as_column
 from ..sources.staging import stage
 
-# A table of at most this many rows is broadcast: some ten MB for the narrow
-# per-key tables joined here. Larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
+# A table of at most this many cells (rows x columns) is broadcast: some tens of
+# MB of numbers and labels. Larger ones are joined by shuffle.
+BROADCAST_CELLS = 2_000_000
 # A key that holds at least this share of the rows is hot; there are at most
 # 1 / HOT_SHARE of them. Each is spread over SALTS shuffle partitions.
 HOT_SHARE = 0.005
 SALTS = 64
 
 
+def fits_broadcast(table: DataFrame, cells: int = BROADCAST_CELLS) -> bool:
+    """Whether a stored table is small enough; only the file footers are read."""
+    return table.count() * len(table.columns) <= cells
+
+
 def attach(
     left: DataFrame,
     right: DataFrame,
@@ -26,20 +31,20 @@ def attach(
     hot_keys: Sequence,
     how: str = "left",
     null_safe: bool = False,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_cells: int = BROADCAST_CELLS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join ``right``, a stored table with one row per key, to ``left``.
 
-    A small ``right`` (its rows are counted from the file footers) is broadcast.
-    Otherwise the rows of ``hot_keys`` and of the NULL key are spread over
-    ``salts`` shuffle partitions, to which only the matching ``right`` rows are
-    copied. The salt hashes the row and its input partition, so a retried task
-    computes it again unchanged. With ``null_safe`` the NULL keys match each other.
+    A ``right`` that is small enough is broadcast. Otherwise the rows of
+    ``hot_keys`` and of the NULL key are spread over ``salts`` shuffle partitions,
+    to which only the matching ``right`` rows are copied. The salt hashes the row
+    and its input partition, so a retried task computes it again unchanged. With
+    ``null_safe`` the NULL keys match each other.
     """
     values = [c for c in right.columns if c != key]
     match = right.select(as_column(key).alias("__key"), *[as_column(c) for c in values])
-    if right.count() <= broadcast_rows:
+    if fits_broadcast(right, broadcast_cells):
         condition = _same(as_column(key), F.col("__key"), null_safe)
         return left.join(F.broadcast(match), condition, how).drop("__key")
 
@@ -86,7 +91,7 @@ def group_stats(df: DataFrame, key: str, aggregates: Sequence[Column]) -> DataFr
 
 
 def attach_group_stats(
-    df: DataFrame, stats: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS, salts: int = SALTS
+    df: DataFrame, stats: DataFrame, key: str, broadcast_cells: int = BROADCAST_CELLS, salts: int = SALTS
 ) -> DataFrame:
     """Every row with the aggregates of its key group.
 
@@ -95,7 +100,7 @@ def attach_group_stats(
     """
     hot = hot_keys(stats, key, "__rows")
     return attach(
-        df, stats.drop("__rows"), key, hot, "left", null_safe=True, broadcast_rows=broadcast_rows, salts=salts
+        df, stats.drop("__rows"), key, hot, "left", null_safe=True, broadcast_cells=broadcast_cells, salts=salts
     )
 
 
@@ -104,9 +109,9 @@ def enrich(
     dimension: DataFrame,
     key: str,
     how: str = "left",
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_cells: int = BROADCAST_CELLS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join a stored dimension with one row per key to a table of any skew."""
-    hot = [] if dimension.count() <= broadcast_rows else frequent_keys(facts, key)
-    return attach(facts, dimension, key, hot, how, broadcast_rows=broadcast_rows, salts=salts)
+    hot = [] if fits_broadcast(dimension, broadcast_cells) else frequent_keys(facts, key)
+    return attach(facts, dimension, key, hot, how, broadcast_cells=broadcast_cells, salts=salts)

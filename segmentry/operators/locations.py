@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import as_column, hash_bound, key_hash, ordinal
 from ..spec import DatasetSpec
-from .joins import BROADCAST_ROWS, attach_group_stats, group_stats
+from .joins import BROADCAST_CELLS, attach_group_stats, group_stats
 
 
 def location_stats(df: DataFrame, location: str, amount: str) -> DataFrame:
@@ -25,9 +25,9 @@ def location_stats(df: DataFrame, location: str, amount: str) -> DataFrame:
     )
 
 
-def location_window(df: DataFrame, location: str, amount: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def location_window(df: DataFrame, location: str, amount: str, broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
     """Every row with the average and the count of the amounts at its location."""
-    return attach_group_stats(df, location_stats(df, location, amount), location, broadcast_rows)
+    return attach_group_stats(df, location_stats(df, location, amount), location, broadcast_cells)
 
 
 def risk_score(df: DataFrame, column: str, scores: Mapping[str, int], default: int = 1) -> DataFrame:
@@ -50,8 +50,10 @@ def risk_patterns(
 
     The location figures come from all rows. The rows to list are sampled before
     the figures are joined to them, which gives the same table as sampling last.
+    ``keys`` identify a transaction; by default the entity, the amount and the
+    event labels do, so that equal transactions are drawn together.
     """
-    listed = hash_sample(df, fraction, keys).select(as_column(spec.location), as_column(spec.risk_level))
+    listed = hash_sample(df, fraction, keys or spec.transaction_keys).select(as_column(spec.location), as_column(spec.risk_level))
     listed = risk_score(listed, spec.risk_level, spec.risk_scores, spec.risk_default)
     stats = location_stats(df, spec.location, spec.amount)
     return attach_group_stats(listed, stats, spec.location).select(

@@ -170,7 +170,8 @@ def segment(
         vectors.unpersist()
         table.unpersist()
     return Segmentation(
-        predictions=chosen["model"].transform(scaled),
+        # The assignment works row by row and needs neither the layout nor its shuffle.
+        predictions=chosen["model"].transform(scaler.transform(filled)),
         best_k=chosen["k"],
         silhouette=chosen["silhouette"],
         sweep=sweep_table(df.sparkSession, sweep),

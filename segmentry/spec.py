@@ -131,6 +131,11 @@ class DatasetSpec:
     def event_dummies(self) -> dict[str, Sequence[str]]:
         return {c: v for c, v in self.dummies.items() if c not in set(self.entity_columns)}
 
+    @property
+    def transaction_keys(self) -> list[str]:
+        """Columns that tell transactions apart as far as the data allows."""
+        return [self.entity, self.amount, *self.event_dummies]
+
     @property
     def entity_numeric(self) -> list[str]:
         return [c for c in self.entity_columns if c in set(self.numeric)]

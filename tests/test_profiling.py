@@ -94,39 +94,43 @@ def transactions(spark):
     )
 
 
-@pytest.mark.parametrize("broadcast_rows", [1_000, 0])
-def test_location_window_equals_the_whole_partition_window(spark, broadcast_rows):
+@pytest.mark.parametrize("broadcast_cells", [1_000, 0])
+def test_location_window_equals_the_whole_partition_window(spark, broadcast_cells):
     from pyspark.sql import Window
 
     df = stage(transactions(spark).repartition(6), "places")
     w = Window.partitionBy("place")
     wanted = df.withColumns({"a": F.avg("amount").over(w), "n": F.count("amount").over(w)}).collect()
-    got = locations.location_window(df, "place", "amount", broadcast_rows)
+    got = locations.location_window(df, "place", "amount", broadcast_cells)
     assert got.columns == ["id", "place", "amount", "avg_transaction_by_location", "transaction_frequency"]
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in wanted}
 
 
 def test_hot_rows_are_spread_over_partitions(spark):
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    settings_ = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for name, value in settings_.items():
+        spark.conf.set(name, value)
     try:
         df = stage(transactions(spark).repartition(6), "places")
         stats = group_stats(df, "place", [F.avg("amount").alias("a")])
         assert set(hot_keys(stats, "place", "__rows")) >= {"hot", None}
-        joined = attach_group_stats(df, stats, "place", broadcast_rows=0).filter(F.col("place") == "hot")
+        joined = attach_group_stats(df, stats, "place", broadcast_cells=0).filter(F.col("place") == "hot")
         sizes = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
         assert len(sizes) > 4 and max(r["count"] for r in sizes) < 500
     finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
+        for name in settings_:
+            spark.conf.unset(name)
 
 
-@pytest.mark.parametrize("broadcast_rows", [1_000, 0])
-def test_enrich_matches_a_plain_join(spark, broadcast_rows):
+@pytest.mark.parametrize("broadcast_cells", [1_000, 0])
+def test_enrich_matches_a_plain_join(spark, broadcast_cells):
     facts = stage(transactions(spark), "facts")
     names = [(f"m{i}", i) for i in range(0, 40, 2)] + [("hot", 99), (None, -1)]
     dimension = stage(spark.createDataFrame(names, "place string, code int"), "dimension")
     for how in ("left", "inner"):
         wanted = facts.join(dimension, "place", how).select("id", "place", "code").collect()
-        got = enrich(facts, dimension, "place", how, broadcast_rows).select("id", "place", "code").collect()
+        got = enrich(facts, dimension, "place", how, broadcast_cells).select("id", "place", "code").collect()
         assert len(got) == len(wanted) and set(got) == set(wanted)
 
 
