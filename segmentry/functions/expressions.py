@@ -32,7 +32,8 @@ def sentinel_null(column: str | Column, sentinels: Sequence[str]) -> Column:
 
 def normal_text(column: str | Column, sentinels: Sequence[str] = ()) -> Column:
     """Trimmed, lower-cased text; missing markers are matched before lower-casing."""
-    return F.lower(sentinel_null(F.trim(as_column(column).cast("string")), sentinels))
+    text = F.trim(as_column(column).cast("string"))
+    return F.lower(F.when(~text.isin(*sentinels), text) if sentinels else text)
 
 
 def to_number(column: str | Column, sentinels: Sequence[str] = ()) -> Column:

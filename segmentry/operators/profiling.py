@@ -6,7 +6,7 @@ to a single row of counters per partition before anything is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -19,17 +19,6 @@ from .entities import entity_behavior
 from .locations import risk_patterns
 from .quantiles import group_medians
 
-SECTIONS = (
-    "missing_counts",
-    "numeric_summary",
-    "category_frequency",
-    "numeric_moments",
-    "risk_patterns",
-    "entity_behavior",
-    "correlation_matrix",
-)
-
-
 def _one_row_per_column(df: DataFrame, columns: Sequence[str], measures) -> DataFrame:
     """Aggregate everything in one pass, then list one row per profiled column."""
     aggregates = [agg.alias(f"{i}_{name}") for i, c in enumerate(columns) for name, agg in measures(c)]
@@ -148,19 +137,24 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int | None
     return numbers.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
-def profile_report(df: DataFrame, spec: DatasetSpec, digits: int = 2) -> dict[str, DataFrame]:
-    """All sections of the profile of a cleaned transaction table, by name.
+def report_sections(df: DataFrame, spec: DatasetSpec, digits: int = 2) -> dict[str, Callable[[], DataFrame]]:
+    """A builder for each section of the profile of a cleaned transaction table.
 
     Pass a stored table: each section is a scan of its own over a few columns.
     """
     numeric = list(spec.numeric)
     sentinel = spec.sentinels[0] if spec.sentinels else "None"
     return {
-        "missing_counts": missing_counts(df, list(spec.columns), sentinel),
-        "numeric_summary": numeric_summary(df, numeric, digits),
-        "category_frequency": category_frequency(df, list(spec.profiled_categories), digits),
-        "numeric_moments": numeric_moments(df, numeric),
-        "risk_patterns": risk_patterns(df, spec),
-        "entity_behavior": entity_behavior(df, spec),
-        "correlation_matrix": correlation_matrix(df, numeric, digits=6),
+        "missing_counts": lambda: missing_counts(df, list(spec.columns), sentinel),
+        "numeric_summary": lambda: numeric_summary(df, numeric, digits),
+        "category_frequency": lambda: category_frequency(df, list(spec.profiled_categories), digits),
+        "numeric_moments": lambda: numeric_moments(df, numeric),
+        "risk_patterns": lambda: risk_patterns(df, spec),
+        "entity_behavior": lambda: entity_behavior(df, spec),
+        "correlation_matrix": lambda: correlation_matrix(df, numeric, digits=6),
     }
+
+
+def profile_report(df: DataFrame, spec: DatasetSpec, digits: int = 2) -> dict[str, DataFrame]:
+    """All sections of the profile, by name."""
+    return {name: build() for name, build in report_sections(df, spec, digits).items()}

@@ -202,8 +202,9 @@ def profile_overview(spark, folder):
     """The stored report, flattened: one row per section, column and metric."""
     cleaned = stage(cleaning.preprocess(raw_transactions(spark, folder), RETAIL), "cleaned")
     path = fresh_path(spark, "report")
-    save_report(profiling.profile_report(cleaned, RETAIL, digits=6), path)
-    report = load_report(spark, path, profiling.SECTIONS)
+    built = profiling.profile_report(cleaned, RETAIL, digits=6)
+    save_report(built, path)
+    report = load_report(spark, path, built)
 
     def rows(section, column, metric, value):
         return report[section].select(

@@ -199,6 +199,28 @@ def segment_entities(spark, folder):
     )
 
 
+@query(
+    "k_sweep_known_points",
+    """with s as (select count(*)::double / (select count(*) from customer) as share from customer group by c_mktsegment),
+    m as (select min(share) as lo, max(share) as hi from s)
+    select k::int as k, 5::int as segments, 1.0::double as silhouette, round(lo, 6) as min_share, round(hi, 6) as max_share,
+      lo >= 0.05::double and hi <= 0.30::double as accepted
+    from m, (select unnest([5, 6, 7]) as k)""",
+)
+def k_sweep_known_points(spark, folder):
+    """From five segments on, five distinct points are separated fully."""
+    customers = table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
+    dummies = fitted_dummies(segmentation.fixed_layout(customers, "c_custkey"), ["c_mktsegment"])
+    _, scaled = segmentation.standardize(dummies, [c for c in dummies.columns if c not in customers.columns])
+    vectors = scaled.select("features").cache()
+    try:
+        sweep = segmentation.k_sweep(vectors, SweepOptions(ks=(5, 6, 7), rule=REGULATOR_RULE))
+    finally:
+        vectors.unpersist()
+    rounded = {c: F.round(c, 6) for c in ("silhouette", "min_share", "max_share")}
+    return segmentation.sweep_table(spark, sweep).withColumns(rounded)
+
+
 @query("k_sweep")
 def k_sweep(spark, folder):
     """Every number of segments from 2 to 20 on two numeric customer features."""

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from ..operators.cleaning import RareLabels, clean_columns, fit_labels, normalize_names
 from ..operators.features import build_features, feature_names, model_features
 from ..operators.locations import profile_sample
-from ..operators.profiling import SECTIONS, profile_report
+from ..operators.profiling import report_sections
 from ..operators.ranking import rank_features, top_k_features
 from ..operators.segmentation import Segmentation, SweepOptions, cluster_profile, cluster_shares, segment
-from ..sources.tables import exists, load_ranking, load_report, materialize, save_ranking, scan_csv
+from ..sources.tables import exists, load_ranking, materialize, save_ranking, scan_csv
 from ..spec import DatasetSpec
 
 TOP_FEATURES = 7
@@ -56,15 +56,14 @@ def clean_transactions(spark: SparkSession, source: str, output: str, spec: Data
     return RareLabels.from_table(kept, spec.other_label).transform(typed)
 
 
-def report_transactions(spark: SparkSession, cleaned: DataFrame, output: str, spec: DatasetSpec):
+def report_transactions(
+    spark: SparkSession, cleaned: DataFrame, output: str, spec: DatasetSpec
+) -> dict[str, DataFrame]:
     """The profiling report; sections already stored are not computed again."""
-    for section in SECTIONS:
-        if not exists(spark, f"{output}/report/{section}/_SUCCESS"):
-            break
-    else:
-        return load_report(spark, f"{output}/report", SECTIONS)
-    report = profile_report(cleaned, spec)
-    return {s: materialize(spark, f"{output}/report/{s}", lambda s=s: report[s]) for s in SECTIONS}
+    return {
+        name: materialize(spark, f"{output}/report/{name}", build)
+        for name, build in report_sections(cleaned, spec).items()
+    }
 
 
 def entity_features(spark: SparkSession, cleaned: DataFrame, output: str, spec: DatasetSpec) -> DataFrame:

@@ -1,6 +1,6 @@
 """Reading and writing tables, reports and models."""
 
-from .staging import checkpoint_dir, stage
+from .staging import checkpoint_dir, drop_staged, stage
 from .tables import (
     exists,
     load_ranking,
@@ -15,6 +15,7 @@ from .tables import (
 
 __all__ = [
     "checkpoint_dir",
+    "drop_staged",
     "exists",
     "load_ranking",
     "load_report",
