@@ -10,6 +10,8 @@ value. The number of groups must be small, as it is for segments.
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Row, Window
@@ -22,6 +24,7 @@ from ..functions.expressions import as_column, quoted, to_number
 BUFFERED_VALUES = 2_000_000
 SUBRANGES = 4096
 MAX_GROUPS = 10_000
+LARGEST = sys.float_info.max
 
 
 def group_medians(
@@ -61,6 +64,8 @@ def _searched(
     """Search all medians at once; the state is one entry per group and column."""
     spark = numbers.sparkSession
     key_type = numbers.schema[group].dataType
+    # Infinite values take part as the largest finite ones and are restored at the end.
+    finite = {c: F.least(F.greatest(as_column(c), F.lit(-LARGEST)), F.lit(LARGEST)) for c in columns}
     state_type = T.StructType(
         [
             T.StructField("sg", key_type),
@@ -73,7 +78,7 @@ def _searched(
     )
     positions = range(len(columns))
     cells = numbers.select(
-        as_column(group).alias("g"), F.posexplode(F.array(*[as_column(c) for c in columns])).alias("f", "value")
+        as_column(group).alias("g"), F.posexplode(F.array(*finite.values())).alias("f", "value")
     ).filter(F.col("value").isNotNull())
 
     groups, total, below, inside, lo, hi = [], {}, {}, {}, {}, {}
@@ -83,7 +88,7 @@ def _searched(
             if row[f"n{i}"]:
                 at = (row["g"], i)
                 total[at], below[at], inside[at] = row[f"n{i}"], 0, row[f"n{i}"]
-                lo[at], hi[at] = row[f"lo{i}"], row[f"hi{i}"]
+                lo[at], hi[at] = (max(min(row[f"{end}{i}"], LARGEST), -LARGEST) for end in ("lo", "hi"))
 
     def state(entries) -> DataFrame:
         rows = [(*at, (total[at] + 1) // 2, below[at], lo[at], hi[at]) for at in entries]
@@ -103,7 +108,10 @@ def _searched(
             upper[row["g"], row["f"]] = row["next"]
 
     def median(at):
-        return None if at not in lo else lo[at] / 2 + upper[at] / 2 if lo[at] != upper[at] else lo[at]
+        if at not in lo:
+            return None
+        low, high = (math.copysign(math.inf, x) if abs(x) == LARGEST else x for x in (lo[at], upper[at]))
+        return low if low == high else low / 2 + high / 2
 
     rows = [(g, *[median((g, i)) for i in positions]) for g in groups]
     fields = [T.StructField(group, key_type)] + [T.StructField(c, T.DoubleType()) for c in columns]
@@ -117,9 +125,13 @@ def _in_state(cells: DataFrame, state: DataFrame) -> DataFrame:
 
 def _narrow(cells: DataFrame) -> DataFrame:
     """One search round: the sub-range of each open range that holds the rank."""
-    # Halved first, so that the width of a range cannot overflow.
+    # Halved first, so that the width of a range cannot overflow. A width too small
+    # for a double still tells the smallest value from the others.
     offset = F.col("value") / 2 - F.col("lo") / 2
-    position = F.floor(F.try_divide(offset, F.col("hi") / 2 - F.col("lo") / 2) * SUBRANGES)
+    position = F.coalesce(
+        F.floor(F.try_divide(offset, F.col("hi") / 2 - F.col("lo") / 2) * SUBRANGES),
+        F.when(F.col("value") > F.col("lo"), SUBRANGES).otherwise(0),
+    )
     parts = (
         cells.filter(F.col("value").between(F.col("lo"), F.col("hi")))
         .groupBy("g", "f", F.least(position, F.lit(SUBRANGES - 1)).alias("part"))

@@ -83,6 +83,17 @@ def test_searched_medians_with_nulls_skew_and_ties(spark):
         assert searched[g][1:] == wanted[g][1:]
 
 
+def test_searched_medians_at_the_ends_of_the_doubles(spark):
+    inf, tiny = math.inf, 5e-324
+    cases = {
+        "inf": [-inf, 1.0, inf, inf, inf], "even": [1.0, inf, inf, -inf], "tiny": [0.0, tiny, tiny], "mixed": [-1.7e308, 1.7e308, 3.0],
+        "low": [-inf, -inf, 2.0], "zero": [0.0, -0.0, tiny, 2 * tiny],
+    }
+    df = spark.createDataFrame([(g, x) for g, xs in cases.items() for x in xs], "g string, x double")
+    searched = {r["g"]: r["x"] for r in group_medians(df, "g", ["x"], buffered_values=0).collect()}
+    assert searched == {"inf": inf, "even": inf, "tiny": tiny, "mixed": 3.0, "low": -inf, "zero": 0.0}
+
+
 def transactions(spark):
     """A third of the rows at one place, some at none."""
     return spark.range(3_000).select(
