@@ -48,8 +48,9 @@ def attach(
         condition = _same(as_column(key), F.col("__key"), null_safe)
         return left.join(F.broadcast(match), condition, how).drop("__key")
 
-    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *[as_column(c) for c in left.columns]), F.lit(salts)).cast("int")
-    salted = left.withColumn("__salt", F.when(_is_hot(as_column(key), hot_keys), spread).otherwise(F.lit(0)))
+    row = F.xxhash64(F.spark_partition_id(), *[as_column(c) for c in left.columns])
+    salt = F.when(_is_hot(as_column(key), hot_keys), F.pmod(row, F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    salted = left.withColumn("__salt", salt)
     copies = F.when(_is_hot(F.col("__key"), hot_keys), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
         F.array(F.lit(0))
     )

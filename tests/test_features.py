@@ -35,7 +35,8 @@ def test_behaviour_of_an_entity(spark):
 
 
 def test_indicator_median_equals_median(spark):
-    df = spark.range(5_000).select((F.xxhash64("id") % 900).alias("k"), (F.xxhash64("id", F.lit(1)) % 2 == 0).cast("int").alias("b"))
+    flag = (F.xxhash64("id", F.lit(1)) % 2 == 0).cast("int")
+    df = spark.range(5_000).select((F.xxhash64("id") % 900).alias("k"), flag.alias("b"))
     both = df.groupBy("k").agg(F.median("b").alias("m"), indicator_median(F.sum("b"), F.count("b")).alias("i"))
     assert both.filter("m <> i").count() == 0
     assert both.filter("i = 0.5").count() > 0
@@ -49,7 +50,8 @@ def test_entity_table_equals_distinct_joined_with_behaviour(spark):
         {"cli": "None", "trn_monto": "5"},
     )
     wanted = entities.distinct_entities(df, list(BANK.entity_columns))
-    wanted = wanted.join(entities.entity_behavior(df, BANK), "cli", "left").join(entities.entity_medians(df, BANK), "cli", "left")
+    wanted = wanted.join(entities.entity_behavior(df, BANK), "cli", "left")
+    wanted = wanted.join(entities.entity_medians(df, BANK), "cli", "left")
     for limit in (1_000, 0):
         table = entities.entity_table(df, BANK, broadcast_cells=limit)
         assert sorted(map(str, table.select(*wanted.columns).collect())) == sorted(map(str, wanted.collect()))

@@ -75,8 +75,12 @@ def test_searched_medians_with_nulls_skew_and_ties(spark):
         F.lit(None).cast("double").alias("empty"),
     )
     columns = ["x", "tie", "empty"]
-    searched = {r["g"]: tuple(r[c] for c in columns) for r in group_medians(big, "g", columns, buffered_values=0).collect()}
-    wanted = {r["g"]: tuple(r[c] for c in columns) for r in big.groupBy("g").agg(*[F.median(c).alias(c) for c in columns]).collect()}
+
+    def by_group(df):
+        return {r["g"]: tuple(r[c] for c in columns) for r in df.collect()}
+
+    searched = by_group(group_medians(big, "g", columns, buffered_values=0))
+    wanted = by_group(big.groupBy("g").agg(*[F.median(c).alias(c) for c in columns]))
     assert set(searched) == set(wanted)
     for g in wanted:
         assert searched[g][0] == pytest.approx(wanted[g][0], rel=1e-12)
@@ -86,8 +90,8 @@ def test_searched_medians_with_nulls_skew_and_ties(spark):
 def test_searched_medians_at_the_ends_of_the_doubles(spark):
     inf, tiny = math.inf, 5e-324
     cases = {
-        "inf": [-inf, 1.0, inf, inf, inf], "even": [1.0, inf, inf, -inf], "tiny": [0.0, tiny, tiny], "mixed": [-1.7e308, 1.7e308, 3.0],
-        "low": [-inf, -inf, 2.0], "zero": [0.0, -0.0, tiny, 2 * tiny],
+        "inf": [-inf, 1.0, inf, inf, inf], "even": [1.0, inf, inf, -inf], "low": [-inf, -inf, 2.0],
+        "tiny": [0.0, tiny, tiny], "zero": [0.0, -0.0, tiny, 2 * tiny], "mixed": [-1.7e308, 1.7e308, 3.0],
     }
     df = spark.createDataFrame([(g, x) for g, xs in cases.items() for x in xs], "g string, x double")
     searched = {r["g"]: r["x"] for r in group_medians(df, "g", ["x"], buffered_values=0).collect()}
@@ -167,7 +171,10 @@ def test_risk_patterns_sample_after_using_all_rows(spark):
 
 
 def test_sample_does_not_depend_on_the_layout(spark):
-    keys = [{r["id"] for r in locations.hash_sample(transactions(spark).repartition(n), 0.1, ["id"]).collect()} for n in (1, 4, 9)]
+    keys = [
+        {r["id"] for r in locations.hash_sample(transactions(spark).repartition(n), 0.1, ["id"]).collect()}
+        for n in (1, 4, 9)
+    ]
     assert keys[0] == keys[1] == keys[2] and 200 < len(keys[0]) < 400
     assert locations.hash_sample(transactions(spark), 1.0).count() == 3_000
     assert locations.hash_sample(transactions(spark), 0.0).count() == 0

@@ -169,7 +169,8 @@ def test_ranking_does_not_depend_on_the_layout(spark):
 
 def test_refit_uses_the_top_features_only(spark):
     df = blobs(spark)
-    table = spark.createDataFrame([("y", 0.5, 2), ("x", 0.6, 1), ("gap", 0.1, 3)], "feature string, importance double, rank int")
+    rows = [("y", 0.5, 2), ("x", 0.6, 1), ("gap", 0.1, 3)]
+    table = spark.createDataFrame(rows, "feature string, importance double, rank int")
     best, refit = ranking.refit_top_k(df, table, 2, ["x", "y", "gap"], [], "key", SweepOptions(ks=(3, 4)))
     assert best == ["x", "y"] and refit.best_k == 4
     assert ranking.top_k_features(table, 2, ["x"], ["y", "gap"]) == (["x"], ["y"])

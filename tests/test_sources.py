@@ -79,6 +79,16 @@ def test_staged_tables_lie_below_the_checkpoint_folder(spark):
     )
 
 
+def test_dropping_staged_tables_deletes_this_applications_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "checkpoint_dir", lambda _: str(tmp_path))
+    path = staging.stage(spark.range(4), "x").inputFiles()[0]
+    other = tmp_path / "segmentry" / "another-application"
+    other.mkdir()
+    assert tables.exists(spark, path)
+    staging.drop_staged(spark)
+    assert not tables.exists(spark, path) and other.exists()
+
+
 class Named:
     """A session stand-in: only what the folder lookup reads."""
 
