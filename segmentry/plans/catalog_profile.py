@@ -97,7 +97,7 @@ def numeric_moments_approx(spark, folder):
     medians = {r["column"]: r["median"] for r in moments.select("column", "median").collect()}
 
     def in_bound(c):
-        slack = F.count(c) / accuracy
+        slack = F.ceil(F.count(c) / accuracy)  # ranks are whole numbers
         below, upto = F.count_if(F.col(c) < medians[c]), F.count_if(F.col(c) <= medians[c])
         return (below <= F.count(c) / 2 + slack) & (upto >= F.count(c) / 2 - slack)
 
