@@ -93,7 +93,7 @@ def numeric_moments_approx(spark, folder):
     """With approximate medians: each one's rank must be within ``1 / accuracy`` of the middle."""
     accuracy = 10_000
     lines = table(spark, folder, "lineitem")
-    moments = profiling.numeric_moments(lines, LINE_NUMBERS, accuracy=accuracy)
+    moments = stage(profiling.numeric_moments(lines, LINE_NUMBERS, accuracy=accuracy), "moments")
     medians = {r["column"]: r["median"] for r in moments.select("column", "median").collect()}
 
     def in_bound(c):
