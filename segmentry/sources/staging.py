@@ -6,27 +6,16 @@ re-running everything above it, and its row count is known from the footers.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a fresh temporary folder; a cluster
-    has to name one, because a machine-local folder is lost with its machine.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not folder:
-        folder = context.getCheckpointDir()
+    """Folder named by ``spark.checkpoint.dir``, or else one below the warehouse, which is shared too."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="segmentry-"))
-        folder = context.getCheckpointDir()
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/staging"
     return folder.rstrip("/")
 
 
