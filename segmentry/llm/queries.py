@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import bpe, quality, sharding
+from . import bpe, lines, near, quality, sharding
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
@@ -41,3 +41,16 @@ def op10_bpe(spark, sf_dir):
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op8_minhash")
+def op8_minhash(spark, sf_dir):
+    return near.near_duplicates(table(spark, sf_dir, "documents")).drop("raw")
+
+
+@query("op5_line_dedup")
+def op5_line_dedup(spark, sf_dir):
+    docs = lines.numbered(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return lines.line_decisions(docs).select(
+        "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed"
+    )
