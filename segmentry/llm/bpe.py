@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import as_column
@@ -344,3 +345,17 @@ def encode(
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
     return source.mapInArrow(run, schema)
+
+
+def encoded_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """``doc_id``, ``lang``, ``source``, the token ``ids``, ``n_tokens`` and ``exact``: the ids decode to the text."""
+    columns = ("doc_id", "lang", "source", "text")
+    coded = encode(docs, tokenizer, "text", columns, decoded=True)
+    return coded.select(
+        "doc_id",
+        "lang",
+        "source",
+        F.size("ids").cast("long").alias("n_tokens"),
+        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("exact"),
+        "ids",
+    )

@@ -238,3 +238,12 @@ def near_duplicates(
         F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept"),
         "raw",
     )
+
+
+def drop_near_duplicates(docs: DataFrame, rules: NearRules | None = None) -> DataFrame:
+    """``docs`` with one document of every class. The rows are stored once with a number to join on."""
+    source = stage(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "near-docs")
+    numbered = source.select(F.struct(F.col("doc.doc_id").alias("doc_id"), "row").alias("key"), "doc.text")
+    gone = near_duplicates(numbered, "key", "text", rules).filter(~F.col("kept")).select("doc_id.row")
+    kept = source.join(gone, "row", "left_anti")
+    return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])

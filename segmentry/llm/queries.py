@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import bpe, lines, near, quality, sharding
+from . import bpe, decontaminate, lines, near, quality, sharding
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
@@ -54,3 +54,8 @@ def op5_line_dedup(spark, sf_dir):
     return lines.line_decisions(docs).select(
         "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed"
     )
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
