@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lines, near, quality, sharding
+from . import bpe, decontaminate, lines, near, quality, sharding, warc
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
@@ -59,3 +59,8 @@ def op5_line_dedup(spark, sf_dir):
 @query("op4_decontamination")
 def op4_decontamination(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_warc", warc.ORACLE_SQL)
+def op6_warc(spark, sf_dir):
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
