@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lines, near, quality, sharding, warc
+from . import bpe, decontaminate, lines, near, quality, sharding, tokens, warc
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
@@ -64,3 +64,8 @@ def op4_decontamination(spark, sf_dir):
 @query("op6_warc", warc.ORACLE_SQL)
 def op6_warc(spark, sf_dir):
     return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark, sf_dir):
+    return tokens.document_token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
