@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lines, near, quality, sharding, tokens, warc
+from . import bpe, classifier, decontaminate, lines, near, quality, sharding, tokens, warc
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
@@ -69,3 +69,8 @@ def op6_warc(spark, sf_dir):
 @query("op3_token_counts")
 def op3_token_counts(spark, sf_dir):
     return tokens.document_token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark, sf_dir):
+    return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
