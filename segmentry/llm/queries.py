@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, decontaminate, lines, near, quality, sharding, tokens, warc
+from . import bpe, classifier, decontaminate, lines, mixing, near, quality, sharding, tokens, warc
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
@@ -74,3 +74,8 @@ def op3_token_counts(spark, sf_dir):
 @query("op9_quality_classifier")
 def op9_quality_classifier(spark, sf_dir):
     return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op1_lm_scoring")
+def op1_lm_scoring(spark, sf_dir):
+    return mixing.lm_scores(table(spark, sf_dir, "documents"))
