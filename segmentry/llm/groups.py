@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
@@ -37,47 +37,53 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def bounded(table: DataFrame, rows: int = 500_000) -> DataFrame:
+    """The stored, narrow table with a broadcast hint if it has at most ``rows`` rows; else Spark joins it by key."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def linked_components(
+    buckets: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    describe: Callable[[DataFrame], DataFrame] | None = None,
+    possible: Callable[[str, str], Column] | None = None,
+) -> DataFrame:
     """Components of all verified pairs that share a bucket, without trying all pairs of a bucket.
 
-    ``buckets`` is a stored table of ``id`` and ``key`` (an id may repeat in a
+    ``buckets`` is a table of ``id`` and ``key`` (an id may repeat in a
     bucket); ``verify`` keeps the pairs ``a`` < ``b`` that are linked. First every member
     is tried against the bucket's smallest id. Pairs whose ends are then in one component
     cannot change the result; all others are tried. So a bucket that is one
     group of copies costs one pair per member, and no link between components is lost.
+    ``describe`` adds columns to a table of the ids that are still open, and ``possible`` (given the prefixes of
+    the two sides' columns) is false only for pairs that ``verify`` would drop; they are never made.
     """
     ends = buckets.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).filter("head < tail")
     members = stage(buckets.join(ends.select("key", "head"), "key"), "bucket-members")
     spokes = members.filter("id > head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     linked = stage(verify(spokes), "links-to-heads")
     grouped = components(linked)
-    placed = (
-        members.filter("id > head")
-        .join(grouped, "id", "left")
-        .select("key", "id", "head", F.coalesce("component", "id").alias("component"))
-    )
     # Heads were tried against all members, so a bucket matters only if the others lie in several components.
+    placed = members.filter("id > head").join(grouped, "id", "left")
+    placed = placed.select("key", "id", F.coalesce("component", "id").alias("component")).distinct()
     mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    open_rows = stage(
-        placed.join(mixed.filter("least < most").select("key"), "key").select("key", "id", "component").distinct(),
-        "open-buckets",
-    )
-    other = open_rows.select("key", F.col("id").alias("b"), F.col("component").alias("b_component"))
-    crossing = (
-        open_rows.withColumnRenamed("id", "a")
-        .join(other, "key")
-        .filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("b_component")))
-        .select("a", "b")
-        .distinct()
-    )
+    open_rows = stage(placed.join(mixed.filter("least < most").select("key"), "key"), "open-buckets")
+    if describe:
+        described = stage(describe(open_rows.select("id").distinct()), "open-ids")
+        open_rows = open_rows.join(described, "id")
+    left, right = (open_rows.select(*[F.col(c).alias(side + c) for c in open_rows.columns]) for side in ("a_", "b_"))
+    differ = (F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component"))
+    if possible:
+        differ = differ & possible("a_", "b_")
+    crossing = left.join(right, (F.col("a_key") == F.col("b_key")) & differ)
+    crossing = crossing.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
     more = stage(verify(crossing), "links-across")
     if not more.limit(1).count():
         return grouped
-    # Components of components: links are lifted to the smallest ids, which keeps this graph small.
-    roots = grouped.withColumnRenamed("id", "node")
+    # Links are lifted to the smallest ids, which keeps this graph small.
     lifted = (
-        more.join(roots.withColumnsRenamed({"node": "a", "component": "a_root"}), "a", "left")
-        .join(roots.withColumnsRenamed({"node": "b", "component": "b_root"}), "b", "left")
+        more.join(grouped.select(F.col("id").alias("a"), F.col("component").alias("a_root")), "a", "left")
+        .join(grouped.select(F.col("id").alias("b"), F.col("component").alias("b_root")), "b", "left")
         .select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
     )
     return components(grouped.select(F.col("component").alias("a"), F.col("id").alias("b")).union(lifted))

@@ -9,14 +9,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import as_column
 from ..sources.staging import stage
 from .batches import slices
-from .groups import linked_components
+from .groups import bounded, linked_components
 
 WORD = re.compile(r"\w+")
 BATCH_BYTES = 4 << 20
@@ -184,6 +184,45 @@ def verified(pairs: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
+def shingle_counts(texts: DataFrame, rules: NearRules) -> DataFrame:
+    """``id``, the number and weight of its distinct shingles (``size``, ``weight``) and of those that another of the
+    texts has too (``shared``, ``shared_weight``)."""
+    fields = [T.StructField("shingle", T.LongType()), T.StructField("w", T.LongType())]
+    schema = T.StructType([texts.schema["id"], *fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1, BATCH_BYTES):
+                owner, shingle, weight = weighted_shingles(part.column(1).to_pylist(), rules.words)
+                columns = [part.column(0).take(pa.array(owner)), pa.array(shingle.astype(np.int64)), pa.array(weight)]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+
+    found = texts.select("id", "text").mapInArrow(run, schema)
+    # A shingle met once belongs to the only id of its group, so the rare ones are counted without a join.
+    met = found.groupBy("shingle").agg(F.min("id").alias("id"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
+    alone = met.filter("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"), F.sum("w").alias("alone_weight"))
+    sizes = found.groupBy("id").agg(F.count(F.lit(1)).alias("size"), F.sum("w").alias("weight"))
+    return sizes.join(alone, "id", "left").select(
+        "id",
+        "size",
+        "weight",
+        (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"),
+        (F.col("weight") - F.coalesce("alone_weight", F.lit(0))).alias("shared_weight"),
+    )
+
+
+def can_be_similar(a: str, b: str, similarity: float) -> Column:
+    """Whether two texts' counts leave room for the similarity: only shared shingles can be common.
+
+    That bounds the Jaccard similarity of the sets, and the probability Jaccard by the share of either text's
+    weight; the second only matters where a shingle repeats."""
+    common = F.least(F.col(a + "shared"), F.col(b + "shared"))
+    plain = common >= similarity * (F.col(a + "size") + F.col(b + "size") - common)
+    repeats = (F.col(a + "weight") > F.col(a + "size")) | (F.col(b + "weight") > F.col(b + "size"))
+    weighted = [F.col(x + "shared_weight") >= similarity * F.col(x + "weight") - 1e-9 for x in (a, b)]
+    return plain | (repeats & weighted[0] & weighted[1])
+
+
 def near_duplicates(
     df: DataFrame, key: str = "doc_id", text: str = "text", rules: NearRules | None = None
 ) -> DataFrame:
@@ -217,14 +256,20 @@ def near_duplicates(
     )
     shared = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     needed = buckets.join(shared.select("key"), "key", "left_semi").select("id").distinct()
-    wanted = distinct.join(needed, "id").select("id", "raw", F.col("first.doc_id").alias("doc_id"))
+    wanted = stage(distinct.join(needed, "id").select("id", "raw", F.col("first.doc_id").alias("doc_id")), "near-wanted")
     source = docs.withColumn("raw", F.md5("text")).alias("s").join(
-        wanted.alias("w"),
+        bounded(wanted).alias("w"),
         (F.col("s.raw") == F.col("w.raw")) & F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")),
     )
     texts = stage(source.groupBy("id").agg(F.first("text").alias("text")), "near-texts")
 
-    grouped = linked_components(buckets, lambda pairs: verified(pairs, texts, rules))
+
+    grouped = linked_components(
+        buckets,
+        lambda pairs: verified(pairs, texts, rules),
+        lambda ids: shingle_counts(texts.join(ids, "id"), rules),
+        lambda a, b: can_be_similar(a, b, rules.similarity),
+    )
     placed = distinct.join(grouped, "id", "left").select(
         "words", "first", "copies", F.coalesce("component", "id").alias("component")
     )
