@@ -1,0 +1,174 @@
+"""Sharding, quality rules, BPE and token counts against brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
+
+from segmentry.llm import bpe, quality, sharding, tokens
+from segmentry.llm.queries import ORACLES, QUERIES, tokenizer_path
+from tests.llm.data import documents, odd_texts
+from tests.oracle import differences
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(spark, small, name):
+    assert differences(spark, small, name, QUERIES, ORACLES) is None
+
+
+def check_shards(rows, source, shards):
+    sizes = [len((t or "").encode()) + 1 for _, t in source]
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter(
+        (i, n, zlib.crc32((t or "").encode())) for (i, t), n in zip(source, sizes)
+    )
+    order = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.size))
+    assert [r.shard for r in order] == sorted(r.shard for r in rows)
+    by_shard = {}
+    for r in rows:
+        by_shard.setdefault(r.shard, []).append(r)
+    for members in by_shard.values():
+        assert sorted(r.slot for r in members) == list(range(len(members)))
+    target = sum(sizes) / shards
+    for shard in range(shards):
+        assert abs(sum(r.size for r in by_shard.get(shard, [])) - target) <= 2 * max(sizes)
+    assert {r.law for r in rows} <= {"bytes"} and {r.grown_shard for r in rows} <= {None}
+
+
+def test_shards_of_odd_rows(spark):
+    source = odd_texts()
+    check_shards(sharding.balanced_shards(documents(spark, source)).collect(), source, 16)
+
+
+def test_shards_of_one_hot_key(spark):
+    source = [(5, "hot text")] * 400 + [(i, "t" * (i % 50)) for i in range(800)]
+    check_shards(sharding.balanced_shards(documents(spark, source).repartition(7)).collect(), source, 16)
+
+
+def test_no_shards_of_no_rows(spark):
+    assert sharding.balanced_shards(documents(spark, [])).collect() == []
+
+
+def test_shards_are_written_with_whole_rows(spark, tmp_path):
+    docs = documents(spark, odd_texts())
+    sharding.write_shards(docs, str(tmp_path / "shards"), shards=4)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.select("row.*").exceptAll(docs).count() == docs.exceptAll(back.select("row.*")).count() == 0
+
+
+def brute_repeats(words):
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    counts, covered = Counter(windows), set()
+    for i, w in enumerate(windows):
+        if counts[w] > 1:
+            covered.update(range(i, i + 8))
+    return len(covered)
+
+
+def test_base_measures_match_their_definition(spark):
+    state = random.Random(3)
+    source = odd_texts() + [
+        (100 + i, " ".join(state.choice("ab") for _ in range(state.randint(0, 60))) + "\n" * (i % 3)) for i in range(60)
+    ]
+    rows = quality.quality_measures(documents(spark, source)).collect()
+    wanted = []
+    for i, text in source:
+        text = text or ""
+        words = WORDS.findall(text)
+        lines = [line for line in text.split("\n") if WORDS.search(line)]
+        repeats = brute_repeats(words)
+        failed = len(words) < 20 or 100 * repeats > 30 * len(words)
+        symbols = len(re.findall(r"[#*$%&|<>]", text))
+        wanted.append((i, len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), repeats, failed))
+    got = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows]
+    assert Counter(got) == Counter(wanted)
+    assert all(not (r.base_failed and r.kept) for r in rows)
+    assert quality.quality_measures(documents(spark, [])).count() == 0
+
+
+def test_line_rules_drop_furniture_and_keep_prose(spark):
+    prose = " ".join(f"word{i}" for i in range(60)) + "."
+    source = [(1, f"Home | Shop | Contact\n{prose}\nAccept all cookies now please.\nMenu"), (2, prose), (3, "BUY!! " * 40)]
+    docs = documents(spark, source)
+    kept = {r.doc_id: r for r in quality.clean_documents(docs).collect()}
+    assert set(kept) == {1, 2} and kept[1].text == prose and kept[1].n_chars == len(prose)
+    assert kept[2].text == prose and quality.clean_documents(docs).columns == docs.columns
+
+
+@pytest.fixture(scope="module")
+def reference():
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def test_bpe_equals_the_library_and_decodes(spark, reference):
+    state = random.Random(5)
+    alphabet = ["a", "b", "é", " ", "  ", "\n", "'s", "1", "½", "<|endoftext|>", "\x00", " \x01", ".", "漢", "\t", " the", "ing"]
+    source = odd_texts() + [(1000 + i, "".join(state.choice(alphabet) for _ in range(i % 30))) for i in range(400)]
+    rows = bpe.encode(documents(spark, source), tokenizer_path(), decoded=True).collect()
+    wanted = Counter((i, tuple(reference.encode(t or "", add_special_tokens=False).ids), t or "") for i, t in source)
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in rows) == wanted
+    assert bpe.encode(documents(spark, []), tokenizer_path()).count() == 0
+
+
+def test_bpe_query_digests(spark, small, reference):
+    rows = {r.doc_id: r for r in QUERIES["op10_bpe"](spark, small).collect()}
+    for d in spark.read.parquet(f"{small}/documents.parquet").collect():
+        ids = reference.encode(d.text, add_special_tokens=False).ids
+        decoded = reference.decode(ids, skip_special_tokens=False)
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), decoded)]
+        assert [rows[d.doc_id].n_tokens, rows[d.doc_id].ids_sha256, rows[d.doc_id].decoded_sha256] == [len(ids), *digests]
+
+
+def test_bpe_decodes_broken_bytes_like_the_library(reference):
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        coder = bpe.Encoder(bpe.Vocabulary.from_json(file.read()))
+    ids = reference.encode("é漢", add_special_tokens=False).ids[1:]
+    texts = coder.decode_batch(np.array(ids, np.int32), np.array([0, len(ids)]))
+    assert texts.to_pylist() == [reference.decode(ids, skip_special_tokens=False)]
+
+
+@pytest.mark.parametrize("block_tokens", [7, 1000, 1 << 19])
+def test_token_counts_over_any_block_size(spark, reference, block_tokens):
+    source = odd_texts()
+    docs = documents(spark, source).coalesce(3)
+    rows = tokens.document_token_counts(docs, tokenizer_path(), block_tokens=block_tokens).collect()
+    plain = Tokenizer.from_file(tokenizer_path())
+    plain.encode_special_tokens = True
+    wanted = Counter((i, len(plain.encode(t or "", add_special_tokens=False).ids)) for i, t in source)
+    assert Counter((r.doc_id, r.n_tokens) for r in rows) == wanted
+
+
+def test_token_files_without_end_or_documents(spark, tmp_path):
+    kind = np.dtype("<u2")
+    for name, ids in {"a": [1, 2, 9, 9, 3, 4, 5, 6], "b": [9], "c": [1, 1, 1]}.items():
+        np.array(ids, kind).tofile(tmp_path / f"{name}.bin")
+    (tmp_path / "d.bin").write_bytes(b"")
+    found = tokens.count_tokens(tokens.read_flat(spark, str(tmp_path), 4), 9, kind).collect()
+    got = sorted((r.file[-5], r.start, r.n_tokens, r.complete) for r in found)
+    assert got == [("a", 0, 2, True), ("a", 3, 0, True), ("a", 4, 4, False), ("b", 0, 0, True), ("c", 0, 3, False)]
+    assert tokens.document_token_counts(documents(spark, []), tokenizer_path()).count() == 0
+
+
+def test_a_block_with_half_a_token_is_an_error(spark):
+    blocks = spark.createDataFrame([(0, 0, bytearray(b"abc"))], "file int, block int, data binary")
+    with pytest.raises(Exception, match="whole tokens"):
+        tokens.count_tokens(blocks, 9, np.dtype("<u2")).collect()
+
+
+def test_pieces_rejoin_to_the_text():
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        coder = bpe.Encoder(bpe.Vocabulary.from_json(file.read()))
+    texts = [t or "" for _, t in odd_texts()]
+    pieces, begins = coder.cut(pa.array(texts))
+    whole = [
+        "".join(p[1:] if p.startswith(bpe.SPECIAL) else bpe.piece_text(p) for p in pieces[a:b].to_pylist())
+        for a, b in zip(begins[:-1], begins[1:])
+    ]
+    assert whole == texts
