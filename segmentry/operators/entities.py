@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import as_column, indicator, indicator_median, ratio
 from ..sources.staging import stage
 from ..spec import METRICS, DatasetSpec
-from .joins import BROADCAST_CELLS, attach, enrich, hot_keys
+from .joins import attach
 
 
 def distinct_entities(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -66,9 +66,9 @@ def entity_medians(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     )
 
 
-def entity_join(entities: DataFrame, metrics: DataFrame, key: str, broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
+def entity_join(entities: DataFrame, metrics: DataFrame, key: str) -> DataFrame:
     """All entities with their metrics (one row per key); NULL keys match nothing."""
-    return enrich(entities, stage(metrics, "metrics"), key, "left", broadcast_cells)
+    return attach(entities, stage(metrics, "metrics"), key)
 
 
 def entity_rollup(df: DataFrame, spec: DatasetSpec) -> DataFrame:
@@ -93,7 +93,6 @@ def rollup_totals(rollup: DataFrame, spec: DatasetSpec) -> DataFrame:
     """Behaviour metrics and indicator medians per entity key, from the roll-up."""
     names = [name for name, _ in _event_indicators(spec)]
     totals = rollup.groupBy(as_column(spec.entity)).agg(
-        F.count(F.lit(1)).alias("__versions"),
         F.try_divide(F.sum("__amount"), F.sum("__amounts")).alias("avg_transaction_amount"),
         F.sum("__amounts").alias("transaction_count"),
         F.sum("__cash").alias("cash_transactions"),
@@ -101,13 +100,11 @@ def rollup_totals(rollup: DataFrame, spec: DatasetSpec) -> DataFrame:
         F.max("__expenses").alias("monthly_expenses"),
         *[indicator_median(F.sum(as_column(f"__{n}")), F.sum("__events")).alias(n) for n in names],
     )
-    metrics = _with_ratio(totals, as_column(spec.entity), F.col("__versions"), *[as_column(n) for n in names])
-    return metrics.select(
-        as_column(spec.entity), "__versions", *[F.col(m) for m in METRICS], *[as_column(n) for n in names]
-    )
+    metrics = _with_ratio(totals, as_column(spec.entity), *[as_column(n) for n in names])
+    return metrics.select(as_column(spec.entity), *[F.col(m) for m in METRICS], *[as_column(n) for n in names])
 
 
-def entity_table(df: DataFrame, spec: DatasetSpec, broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
+def entity_table(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     """Entity versions with the behaviour metrics and indicator medians of their key.
 
     Both the roll-up and its totals are stored in the shared folder: the
@@ -116,5 +113,4 @@ def entity_table(df: DataFrame, spec: DatasetSpec, broadcast_cells: int = BROADC
     rollup = stage(entity_rollup(df, spec), "entity-rollup")
     totals = stage(rollup_totals(rollup, spec), "entity-totals")
     versions = rollup.select(*[as_column(c) for c in spec.entity_columns])
-    hot = hot_keys(totals, spec.entity, "__versions")
-    return attach(versions, totals.drop("__versions"), spec.entity, hot, "left", broadcast_cells=broadcast_cells)
+    return attach(versions, totals, spec.entity)

@@ -13,8 +13,6 @@ from ..spec import METRICS, DatasetSpec, LabelGroups
 from .cleaning import fill_missing, label_counts, normalize_columns, normalize_names, require_columns
 from .entities import entity_table
 
-MAX_LABELS = 1_000
-
 
 def _dummies(vocabulary: Mapping[str, Sequence[str]], null_label: str | None):
     return [
@@ -40,20 +38,12 @@ class Vocabulary:
     labels: Mapping[str, Sequence[str]]
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: Sequence[str], max_labels: int = MAX_LABELS) -> Vocabulary:
-        """Distinct non-NULL labels; a column with more than ``max_labels`` is an error.
-
-        Every label becomes a column, so the limit guards the width of the table.
-        """
-        found = (
-            label_counts(df, columns)
-            .filter(F.col("value").isNotNull())
-            .select("column", "value")
-            .limit(len(columns) * max_labels + 1)
-            .collect()
-        )
+    def fit(cls, df: DataFrame, columns: Sequence[str], max_labels: int | None = None) -> Vocabulary:
+        """Distinct non-NULL labels. Every label becomes a column; with ``max_labels``, a column with more is an error."""
+        counts = label_counts(df, columns).filter(F.col("value").isNotNull()).select("column", "value")
+        found = (counts if max_labels is None else counts.limit(len(columns) * max_labels + 1)).collect()
         labels = {c: sorted(r["value"] for r in found if r["column"] == c) for c in columns}
-        wide = sorted(c for c, values in labels.items() if len(values) > max_labels)
+        wide = sorted(c for c, values in labels.items() if max_labels is not None and len(values) > max_labels)
         if wide:
             raise ValueError(f"too many labels for dummies (limit {max_labels}): {wide}")
         return cls({c: tuple(values) for c, values in labels.items()})
@@ -62,7 +52,7 @@ class Vocabulary:
         return fixed_dummies(df, self.labels, null_label=None)
 
 
-def fitted_dummies(df: DataFrame, columns: Sequence[str], max_labels: int = MAX_LABELS) -> DataFrame:
+def fitted_dummies(df: DataFrame, columns: Sequence[str], max_labels: int | None = None) -> DataFrame:
     return Vocabulary.fit(df, columns, max_labels).transform(df)
 
 

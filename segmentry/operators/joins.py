@@ -1,4 +1,10 @@
-"""Left joins on an entity or group key that survive hot keys."""
+"""Left joins on an entity or group key.
+
+The right side is always a stored table, so Spark knows its real size: it picks the
+broadcast itself, below ``spark.sql.autoBroadcastJoinThreshold``, and adaptive execution
+splits the partitions of hot and NULL keys otherwise. The left rows of one key then
+spread over several tasks, each with a copy of the key's one right row.
+"""
 
 from __future__ import annotations
 
@@ -10,109 +16,29 @@ from pyspark.sql import functions as F
 from ..functions.expressions import as_column
 from ..sources.staging import stage
 
-# A table of at most this many cells (rows x columns) is broadcast: some tens of
-# MB of numbers and labels. Larger ones are joined by shuffle.
-BROADCAST_CELLS = 2_000_000
-# A key that holds at least this share of the rows is hot; there are at most
-# 1 / HOT_SHARE of them. Each is spread over SALTS shuffle partitions.
-HOT_SHARE = 0.005
-SALTS = 64
-
-
-def fits_broadcast(table: DataFrame, cells: int = BROADCAST_CELLS) -> bool:
-    """Whether a stored table is small enough; only the file footers are read."""
-    return table.count() * len(table.columns) <= cells
-
-
-def attach(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    hot_keys: Sequence,
-    how: str = "left",
-    null_safe: bool = False,
-    broadcast_cells: int = BROADCAST_CELLS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join ``right``, a stored table with one row per key, to ``left``.
-
-    A ``right`` that is small enough is broadcast. Otherwise the rows of
-    ``hot_keys`` and of the NULL key are spread over ``salts`` shuffle partitions,
-    to which only the matching ``right`` rows are copied. The salt hashes the row
-    and its input partition, so a retried task computes it again unchanged. With
-    ``null_safe`` the NULL keys match each other.
-    """
-    values = [c for c in right.columns if c != key]
-    match = right.select(as_column(key).alias("__key"), *[as_column(c) for c in values])
-    if fits_broadcast(right, broadcast_cells):
-        condition = _same(as_column(key), F.col("__key"), null_safe)
-        return left.join(F.broadcast(match), condition, how).drop("__key")
-
-    row = F.xxhash64(F.spark_partition_id(), *[as_column(c) for c in left.columns])
-    salt = F.when(_is_hot(as_column(key), hot_keys), F.pmod(row, F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    salted = left.withColumn("__salt", salt)
-    copies = F.when(_is_hot(F.col("__key"), hot_keys), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    match = match.withColumn("__copy", F.explode(copies))
-    condition = _same(as_column(key), F.col("__key"), null_safe) & (F.col("__salt") == F.col("__copy"))
-    return salted.join(match, condition, how).drop("__key", "__salt", "__copy")
-
 
-def _same(left: Column, right: Column, null_safe: bool) -> Column:
-    return left.eqNullSafe(right) if null_safe else left == right
-
-
-def _is_hot(key: Column, hot_keys: Sequence) -> Column:
-    present = [k for k in hot_keys if k is not None]
-    return key.isNull() | key.isin(*present) if present else key.isNull()
-
-
-def hot_keys(stats: DataFrame, key: str, rows: str, hot_share: float = HOT_SHARE) -> list:
-    """Keys of a per-key table whose row count is at least ``hot_share`` of all."""
-    total = stats.agg(F.sum(rows)).first()[0] or 0
-    hot = stats.filter(as_column(rows) >= F.lit(total * hot_share)) if total else stats.limit(0)
-    return [r[0] for r in hot.select(as_column(key)).limit(int(1 / hot_share) + 1).collect()]
-
-
-def frequent_keys(df: DataFrame, key: str, hot_share: float = HOT_SHARE) -> list:
-    """A superset of the hot keys of a raw table, in one pass with bounded state."""
-    found = df.select(as_column(key).alias("key")).freqItems(["key"], hot_share / 2).first()[0]
-    return list(found)
+def attach(left: DataFrame, right: DataFrame, key: str, how: str = "left", null_safe: bool = False) -> DataFrame:
+    """Join ``right``, a stored table with one row per key; with ``null_safe`` the NULL keys match each other."""
+    values = [as_column(c) for c in right.columns if c != key]
+    match = right.select(as_column(key).alias("__key"), *values)
+    column = as_column(key)
+    same = column.eqNullSafe(F.col("__key")) if null_safe else column == F.col("__key")
+    return left.join(match, same, how).drop("__key")
 
 
 def group_stats(df: DataFrame, key: str, aggregates: Sequence[Column]) -> DataFrame:
-    """Stored aggregates per key group (NULL is a group too), with its row count.
+    """Stored aggregates per key group (NULL is a group too).
 
     The groups are aggregated partially before the shuffle, so a key that holds
     most of the rows costs one row per input partition.
     """
-    rows = F.count(F.lit(1)).alias("__rows")
-    return stage(df.groupBy(as_column(key)).agg(rows, *aggregates), "group-stats")
+    return stage(df.groupBy(as_column(key)).agg(*aggregates), "group-stats")
 
 
-def attach_group_stats(
-    df: DataFrame, stats: DataFrame, key: str, broadcast_cells: int = BROADCAST_CELLS, salts: int = SALTS
-) -> DataFrame:
+def attach_group_stats(df: DataFrame, stats: DataFrame, key: str) -> DataFrame:
     """Every row with the aggregates of its key group.
 
     With ``group_stats`` this equals a whole-partition window, but a window
     moves all rows of a key into one task.
     """
-    hot = hot_keys(stats, key, "__rows")
-    return attach(
-        df, stats.drop("__rows"), key, hot, "left", null_safe=True, broadcast_cells=broadcast_cells, salts=salts
-    )
-
-
-def enrich(
-    facts: DataFrame,
-    dimension: DataFrame,
-    key: str,
-    how: str = "left",
-    broadcast_cells: int = BROADCAST_CELLS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join a stored dimension with one row per key to a table of any skew."""
-    hot = [] if fits_broadcast(dimension, broadcast_cells) else frequent_keys(facts, key)
-    return attach(facts, dimension, key, hot, how, broadcast_cells=broadcast_cells, salts=salts)
+    return attach(df, stats, key, "left", null_safe=True)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import as_column, hash_bound, key_hash, ordinal
 from ..spec import DatasetSpec
-from .joins import BROADCAST_CELLS, attach_group_stats, group_stats
+from .joins import attach_group_stats, group_stats
 
 
 def location_stats(df: DataFrame, location: str, amount: str) -> DataFrame:
@@ -25,9 +25,9 @@ def location_stats(df: DataFrame, location: str, amount: str) -> DataFrame:
     )
 
 
-def location_window(df: DataFrame, location: str, amount: str, broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
+def location_window(df: DataFrame, location: str, amount: str) -> DataFrame:
     """Every row with the average and the count of the amounts at its location."""
-    return attach_group_stats(df, location_stats(df, location, amount), location, broadcast_cells)
+    return attach_group_stats(df, location_stats(df, location, amount), location)
 
 
 def risk_score(df: DataFrame, column: str, scores: Mapping[str, int], default: int = 1) -> DataFrame:

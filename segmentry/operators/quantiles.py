@@ -1,152 +1,105 @@
 """Exact medians per group without collecting a group into one task.
 
-``median`` and ``percentile`` keep every distinct value of a group in one
-buffer. That is fine for small groups, and they are used there. For large ones
-the middle value is searched by narrowing its value range: each round counts
-the values per sub-range (partially aggregated, so only counters are shuffled),
-keeps the sub-range that holds the middle rank, and stops once it holds a single
-value. The number of groups must be small, as it is for segments.
+Spark's ``median`` keeps every distinct value of a group in one buffer. Here the middle is
+bracketed by rank: a scan takes the quantiles inside each group's bracket on a
+fixed grid, counts exactly what lies below and inside, and the bracket closes in
+on the wanted ranks. Each scan leaves about a hundredth of the rows inside,
+whatever the values are like. Then the values inside are counted one by one.
 """
 
 from __future__ import annotations
 
-import math
-import sys
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.expressions import as_column, quoted, to_number
+from ..functions.expressions import as_column, to_number
+from ..sources.staging import stage
 
-# Values (rows x columns) of one group that fit one percentile buffer.
-BUFFERED_VALUES = 2_000_000
-SUBRANGES = 4096
-MAX_GROUPS = 10_000
-LARGEST = sys.float_info.max
+GRID = 1_000
+ACCURACY = 10 * GRID
+MARGIN = 4  # grid steps on each side of the wanted ranks: their error is far below one step
+# Values of a group that a last scan counts one by one; brackets close in until no more can be inside.
+COUNTED_VALUES = 10_000
 
 
-def group_medians(
-    df: DataFrame, group: str, columns: Sequence[str], lower: bool = False, buffered_values: int = BUFFERED_VALUES
-) -> DataFrame:
+def group_medians(df: DataFrame, group: str, columns: Sequence[str], lower: bool = False) -> DataFrame:
     """Exact median of each column per group, one row per group.
 
     NULL and NaN cells are ignored. For an even number of values the median is
-    the mean of the two middle ones, or the smaller of them with ``lower``.
+    the mean of the two middle ones, or the smaller of them with ``lower``. The state, one
+    row per group and column, is a stored table joined by key; the number of groups is free.
     """
-    numbers = df.select(as_column(group).alias(group), *[to_number(c).alias(c) for c in columns])
-    ranges = numbers.groupBy(as_column(group).alias("g")).agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count(as_column(c)).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.min(as_column(c)).alias(f"lo{i}") for i, c in enumerate(columns)],
-        *[F.max(as_column(c)).alias(f"hi{i}") for i, c in enumerate(columns)],
+    numbers = df.select(as_column(group).alias("g"), *[to_number(c).alias(f"x{i}") for i, c in enumerate(columns)])
+    listed = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"x{i}").alias("v")) for i in range(len(columns))])
+    cells = numbers.select("g", F.inline(listed)).filter(F.col("v").isNotNull())
+
+    sizes = cells.groupBy("g", "f").agg(F.count(F.lit(1)).alias("n"))
+    no_bound = F.lit(None).cast("double")
+    state = stage(
+        sizes.select(
+            "g",
+            "f",
+            F.expr("(n + 1) div 2").alias("first"),
+            (F.expr("(n + 1) div 2") if lower else F.expr("n div 2 + 1")).alias("last"),
+            no_bound.alias("low"),
+            no_bound.alias("high"),
+            F.col("n").alias("inside"),
+        ),
+        "median-ranks",
     )
-    found = ranges.limit(MAX_GROUPS + 1).collect()
-    many = len(found) > MAX_GROUPS
-    largest = ranges.agg(F.max("rows")).first()[0] if many else max((r["rows"] for r in found), default=0)
-    if largest * len(columns) <= buffered_values:
-        return numbers.groupBy(as_column(group)).agg(*[_buffered(c, lower).alias(c) for c in columns])
-    if many:
-        raise ValueError(f"a group of {largest} rows among more than {MAX_GROUPS} groups: group by fewer segments")
-    return _searched(numbers, group, columns, found, lower)
-
-
-def _buffered(column: str, lower: bool):
-    if lower:
-        return F.expr(f"percentile_disc(0.5) within group (order by {quoted(column)})")
-    return F.median(as_column(column))
-
-
-def _searched(
-    numbers: DataFrame, group: str, columns: Sequence[str], ranges: Sequence[Row], lower: bool
-) -> DataFrame:
-    """Search all medians at once; the state is one entry per group and column."""
-    spark = numbers.sparkSession
-    key_type = numbers.schema[group].dataType
-    # Infinite values take part as the largest finite ones and are restored at the end.
-    finite = {c: F.least(F.greatest(as_column(c), F.lit(-LARGEST)), F.lit(LARGEST)) for c in columns}
-    state_type = T.StructType(
-        [
-            T.StructField("sg", key_type),
-            T.StructField("sf", T.IntegerType()),
-            T.StructField("rank", T.LongType()),
-            T.StructField("below", T.LongType()),
-            T.StructField("lo", T.DoubleType()),
-            T.StructField("hi", T.DoubleType()),
-        ]
+    inside = state.agg(F.max("inside")).first()[0] or 0
+    while inside > COUNTED_VALUES:
+        state = stage(_narrowed(_in_bracket(cells, state)), "median-brackets")
+        inside = inside * (2 * MARGIN + 3) // GRID  # ties can only mean fewer distinct values
+    found = _middle(_in_bracket(cells, state))
+
+    groups = numbers.select("g").distinct()
+    wide = found.groupBy("g").agg(*[F.max(F.when(F.col("f") == i, F.col("median"))).alias(f"m{i}") for i in range(len(columns))])
+    named = wide.select(F.col("g").alias("k"), *[F.col(f"m{i}").alias(c) for i, c in enumerate(columns)])
+    joined = groups.join(named, F.col("g").eqNullSafe(F.col("k")), "left")
+    return joined.select(F.col("g").alias(group), *[as_column(c) for c in columns])
+
+
+def _in_bracket(cells: DataFrame, state: DataFrame) -> DataFrame:
+    """Cells up to the bracket of their group and column, the ones below it with a NULL value."""
+    bounds = state.withColumnsRenamed({"g": "sg", "f": "sf"})
+    joined = cells.join(bounds, F.col("g").eqNullSafe(F.col("sg")) & (F.col("f") == F.col("sf")))
+    kept = joined.filter(F.col("high").isNull() | (F.col("v") <= F.col("high")))
+    value = F.when(F.col("low").isNull() | (F.col("v") >= F.col("low")), F.col("v"))
+    return kept.select("g", "f", "first", "last", value.alias("v"))
+
+
+def _narrowed(cells: DataFrame) -> DataFrame:
+    """One scan: the grid steps around the wanted ranks become the new bracket."""
+    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    counted = cells.groupBy("g", "f").agg(
+        F.first("first").alias("first"),
+        F.first("last").alias("last"),
+        F.count_if(F.col("v").isNull()).alias("below"),
+        F.count("v").alias("inside"),
+        F.percentile_approx("v", grid, ACCURACY).alias("steps"),
     )
-    positions = range(len(columns))
-    cells = numbers.select(
-        as_column(group).alias("g"), F.posexplode(F.array(*finite.values())).alias("f", "value")
-    ).filter(F.col("value").isNotNull())
-
-    groups, total, below, inside, lo, hi = [], {}, {}, {}, {}, {}
-    for row in ranges:
-        groups.append(row["g"])
-        for i in positions:
-            if row[f"n{i}"]:
-                at = (row["g"], i)
-                total[at], below[at], inside[at] = row[f"n{i}"], 0, row[f"n{i}"]
-                lo[at], hi[at] = (max(min(row[f"{end}{i}"], LARGEST), -LARGEST) for end in ("lo", "hi"))
-
-    def state(entries) -> DataFrame:
-        rows = [(*at, (total[at] + 1) // 2, below[at], lo[at], hi[at]) for at in entries]
-        return spark.createDataFrame(rows, state_type)
-
-    while unsettled := [at for at in total if lo[at] < hi[at]]:
-        for row in _narrow(_in_state(cells, state(unsettled))).collect():
-            at = (row["g"], row["f"])
-            below[at], inside[at], lo[at], hi[at] = row["below"], row["inside"], row["lo"], row["hi"]
-
-    # An even count whose middle falls between two values also needs the next one.
-    upper = dict(lo)
-    split = [at for at, n in total.items() if not lower and n % 2 == 0 and below[at] + inside[at] == n // 2]
-    if split:
-        above = _in_state(cells, state(split)).filter(F.col("value") > F.col("hi"))
-        for row in above.groupBy("g", "f").agg(F.min("value").alias("next")).collect():
-            upper[row["g"], row["f"]] = row["next"]
-
-    def median(at):
-        if at not in lo:
-            return None
-        low, high = (math.copysign(math.inf, x) if abs(x) == LARGEST else x for x in (lo[at], upper[at]))
-        return low if low == high else low / 2 + high / 2
-
-    rows = [(g, *[median((g, i)) for i in positions]) for g in groups]
-    fields = [T.StructField(group, key_type)] + [T.StructField(c, T.DoubleType()) for c in columns]
-    return spark.createDataFrame(rows, T.StructType(fields))
-
-
-def _in_state(cells: DataFrame, state: DataFrame) -> DataFrame:
-    """Cells with the state of their group and column, which is safe to broadcast."""
-    return cells.join(F.broadcast(state), F.col("g").eqNullSafe(F.col("sg")) & (F.col("f") == F.col("sf")))
-
-
-def _narrow(cells: DataFrame) -> DataFrame:
-    """One search round: the sub-range of each open range that holds the rank."""
-    # Halved first, so that the width of a range cannot overflow. A width too small
-    # for a double still tells the smallest value from the others.
-    offset = F.col("value") / 2 - F.col("lo") / 2
-    position = F.coalesce(
-        F.floor(F.try_divide(offset, F.col("hi") / 2 - F.col("lo") / 2) * SUBRANGES),
-        F.when(F.col("value") > F.col("lo"), SUBRANGES).otherwise(0),
-    )
-    parts = (
-        cells.filter(F.col("value").between(F.col("lo"), F.col("hi")))
-        .groupBy("g", "f", F.least(position, F.lit(SUBRANGES - 1)).alias("part"))
-        .agg(
-            F.count(F.lit(1)).alias("inside"),
-            F.min("value").alias("lo"),
-            F.max("value").alias("hi"),
-            F.first("rank").alias("rank"),
-            F.first("below").alias("below"),
-        )
-    )
-    # At most SUBRANGES rows per group and column reach this window.
-    upto = F.sum("inside").over(Window.partitionBy("g", "f").orderBy("part"))
-    return (
-        parts.withColumn("below", F.col("below") + upto - F.col("inside"))
-        .filter((F.col("below") < F.col("rank")) & (F.col("below") + F.col("inside") >= F.col("rank")))
-        .select("g", "f", "below", "inside", "lo", "hi")
+
+    def step(rank: str, margin: int) -> Column:
+        at = F.floor((F.col(rank) - F.col("below")) * GRID / F.col("inside")).cast("int") + margin
+        return F.get("steps", F.greatest(F.lit(0), F.least(F.lit(GRID), at)))
+
+    return counted.select("g", "f", "first", "last", step("first", -MARGIN).alias("low"), step("last", MARGIN + 1).alias("high"))
+
+
+def _middle(cells: DataFrame) -> DataFrame:
+    """The median from the counts of the distinct values inside the bracket."""
+    counts = cells.groupBy("g", "f", "v").agg(
+        F.count(F.lit(1)).alias("n"), F.first("first").alias("first"), F.first("last").alias("last")
     )
+    upto = F.sum("n").over(Window.partitionBy("g", "f").orderBy(F.asc_nulls_first("v")))
+    ranked = counts.withColumn("upto", upto)
+
+    def at(rank: str) -> Column:
+        return F.min(F.when(F.col("upto") >= F.col(rank), F.col("v")))
+
+    picked = ranked.groupBy("g", "f").agg(at("first").alias("a"), at("last").alias("b"))
+    median = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") / 2 + F.col("b") / 2)
+    return picked.select("g", "f", median.alias("median"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,19 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import as_column
 from ..sources.tables import RANKING_SCHEMA
 from .cleaning import label_counts
-from .segmentation import ROWS_PER_PARTITION, Segmentation, SweepOptions, fixed_layout, segment
-
-MAX_INDEX_LABELS = 1_000
-
-# Growing a hundred trees is heavy work per row: small tables get more, smaller
-# partitions than they would for a scan.
-SMALL_PARTITION = 2_000
-SMALL_PARTITIONS = 32
-
-
-def forest_partitions(rows: int) -> int:
-    small = min(math.ceil(max(rows, 1) / SMALL_PARTITION), SMALL_PARTITIONS)
-    return max(small, math.ceil(rows / ROWS_PER_PARTITION))
+from .segmentation import PARTITIONS, Segmentation, SweepOptions, fixed_layout, segment
 
 
 @dataclass(frozen=True)
@@ -37,18 +24,18 @@ class Ranking:
 
 
 def string_index(
-    df: DataFrame, columns: Sequence[str], max_labels: int = MAX_INDEX_LABELS
+    df: DataFrame, columns: Sequence[str], max_labels: int | None = None
 ) -> tuple[StringIndexerModel, DataFrame]:
     """Adds ``column_idx``: 0 for the most frequent label, ties by label.
 
     NULL and labels not seen in the fit get one extra index. The fitted labels
-    live on the driver and in every tree split, so a column with more than
-    ``max_labels`` labels is an error, found before more of them are collected.
+    live on the driver and in every tree split; with ``max_labels``, a column with
+    more labels is an error, found before more of them are collected.
     """
     counts = label_counts(df, columns).filter(F.col("value").isNotNull())
-    found = counts.limit(len(columns) * max_labels + 1).collect()
+    found = (counts if max_labels is None else counts.limit(len(columns) * max_labels + 1)).collect()
     labels = {c: [(-r["rows"], r["value"]) for r in found if r["column"] == c] for c in columns}
-    wide = sorted(c for c, pairs in labels.items() if len(pairs) > max_labels)
+    wide = sorted(c for c, pairs in labels.items() if max_labels is not None and len(pairs) > max_labels)
     if wide:
         raise ValueError(f"too many labels to index (limit {max_labels}): {wide}")
     model = StringIndexerModel.from_arrays_of_labels(
@@ -68,7 +55,7 @@ def rank_features(
     key: str | None = None,
     trees: int = 100,
     seed: int = 42,
-    partitions: int | None = None,
+    partitions: int = PARTITIONS,
 ) -> Ranking:
     """Importance of every feature for the label, by a random forest.
 
@@ -76,7 +63,7 @@ def rank_features(
     follow the order in which the vector was assembled.
     """
     table = df.select(*[as_column(c) for c in dict.fromkeys([*([key] if key else []), label, *numeric, *categorical])])
-    table = fixed_layout(table, key or label, partitions or forest_partitions(table.count())).persist(StorageLevel.MEMORY_AND_DISK)
+    table = fixed_layout(table, key or label, partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         indexed, bins = table, 32
         if categorical:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import partial
@@ -13,16 +12,16 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import as_column
 from ..spec import ShareRule
 from .cleaning import fill_missing
-from .quantiles import BUFFERED_VALUES, group_medians
+from .quantiles import group_medians
 
-# Every KMeans iteration runs one task per partition: some tens of MB of vectors each.
-ROWS_PER_PARTITION = 100_000
+# Tasks of every KMeans iteration and forest level; a cluster with many rows sets SweepOptions.partitions.
+PARTITIONS = 8
 
 SWEEP_SCHEMA = "k int, segments int, silhouette double, min_share double, max_share double, accepted boolean"
 
@@ -31,14 +30,14 @@ SWEEP_SCHEMA = "k int, segments int, silhouette double, min_share double, max_sh
 class SweepOptions:
     """Numbers of segments to try, the acceptance rule, and how to run the fits.
 
-    ``partitions`` fixes the layout the fits see (default: from the number of
-    rows); ``parallelism`` fits run at the same time.
+    ``partitions`` is the layout the fits see: with one seed, it alone decides the
+    models that the same rows give. ``parallelism`` fits run at the same time.
     """
 
     ks: Sequence[int] = tuple(range(2, 21))
     rule: ShareRule = field(default_factory=ShareRule)
     seed: int = 42
-    partitions: int | None = None
+    partitions: int = PARTITIONS
     parallelism: int = 8
 
 
@@ -52,17 +51,15 @@ class Segmentation:
     scaler: PipelineModel
 
 
-def fixed_layout(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+def fixed_layout(df: DataFrame, key: str, partitions: int = PARTITIONS) -> DataFrame:
     """The same rows in the same partitions and order, however ``df`` is laid out.
 
     KMeans and forests draw per partition, so a seed alone does not make them
     reproducible. Rows are spread by all their columns: a key with many versions
-    does not end up in one partition. By default the number of partitions follows
-    from the number of rows alone.
+    does not end up in one partition.
     """
-    n = partitions or math.ceil(max(df.count(), 1) / ROWS_PER_PARTITION)
     columns = [as_column(key), *[as_column(c) for c in df.columns if c != key]]
-    return df.repartition(n, *columns).sortWithinPartitions(*columns)
+    return df.repartition(partitions, *columns).sortWithinPartitions(*columns)
 
 
 def scaling_pipeline(features: Sequence[str]) -> Pipeline:
@@ -89,15 +86,14 @@ def silhouette(df: DataFrame, prediction: str = "prediction", features: str = "f
 def cluster_shares(df: DataFrame, prediction: str = "prediction") -> DataFrame:
     """``(prediction, count, share)``; the total is taken over one row per segment."""
     sizes = df.groupBy(as_column(prediction)).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy(F.lit(0)))
-    return sizes.withColumn("share", F.col("count") / total)
+    total = sizes.agg(F.sum("count").alias("total"))  # one row
+    return sizes.join(F.broadcast(total)).withColumn("share", F.col("count") / F.col("total")).drop("total")
 
 
-def share_rule(shares: DataFrame, rule: ShareRule) -> DataFrame:
-    """``(min_share, max_share, accepted)`` of a table of segment shares."""
-    return shares.agg(F.min("share").alias("min_share"), F.max("share").alias("max_share")).withColumn(
-        "accepted", (F.col("min_share") >= F.lit(rule.min_share)) & (F.col("max_share") <= F.lit(rule.max_share))
-    )
+def share_rule(shares: DataFrame, rule: ShareRule, silhouette: float | None = None) -> DataFrame:
+    """``(min_share, max_share, accepted)`` of a table of segment shares and, if the rule names one, the silhouette."""
+    ends = shares.agg(F.min("share").alias("min_share"), F.max("share").alias("max_share"))
+    return ends.withColumn("accepted", F.lit(True) & rule.accepts(F.col("min_share"), F.col("max_share"), silhouette))
 
 
 def k_sweep(scaled: DataFrame, options: SweepOptions = SweepOptions()) -> list[dict]:
@@ -122,7 +118,7 @@ def k_sweep(scaled: DataFrame, options: SweepOptions = SweepOptions()) -> list[d
             "silhouette": value,
             "min_share": smallest,
             "max_share": largest,
-            "accepted": value is not None and options.rule.accepts(smallest, largest, value),
+            "accepted": value is not None and bool(options.rule.accepts(smallest, largest, value)),
             "model": model,
         }
 
@@ -153,11 +149,13 @@ def segment(
 ) -> Segmentation:
     """Scale, sweep, take the best accepted number of segments, and assign all rows.
 
-    Missing features count as 0.0; no entity is dropped. ``df`` should be a
-    stored table: the vectors cached from it are recomputed if an executor dies.
+    Missing features count as 0.0; no entity is dropped, and the predictions keep all
+    columns of ``df``. ``df`` should be a stored table: the vectors cached
+    from it are recomputed if an executor dies.
     """
-    filled = fill_missing(df.select(as_column(key), *[as_column(f) for f in features]), features)
-    table = fixed_layout(filled, key, options.partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    filled = fill_missing(df, features)
+    needed = filled.select(as_column(key), *[as_column(f) for f in features])
+    table = fixed_layout(needed, key, options.partitions).persist(StorageLevel.MEMORY_AND_DISK)
     scaler, scaled = standardize(table, features)
     # The sweep reads nothing but the vectors, so only they stay cached for it.
     vectors = scaled.select("features").persist(StorageLevel.MEMORY_AND_DISK)
@@ -185,10 +183,9 @@ def cluster_profile(
     features: Sequence[str],
     prediction: str = "prediction",
     digits: int | None = 2,
-    buffered_values: int = BUFFERED_VALUES,
 ) -> DataFrame:
     """Exact median of every feature per segment, named ``median_feature``."""
-    medians = group_medians(predictions, prediction, features, buffered_values=buffered_values)
+    medians = group_medians(predictions, prediction, features)
     return medians.select(
         as_column(prediction),
         *[(as_column(f) if digits is None else F.round(as_column(f), digits)).alias(f"median_{f}") for f in features],

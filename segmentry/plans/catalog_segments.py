@@ -2,15 +2,20 @@
 
 KMeans and forests have no SQL equivalent. Where the right answer is known
 beforehand (the rows form a few distinct points), the SQL states that answer,
-in facts that do not depend on how the segments are numbered. Numeric sweeps
-and rankings have no SQL and are tested on fixtures instead.
+in facts that do not depend on how the segments are numbered, or that a check
+made in Spark comes out right.
 """
 
 from __future__ import annotations
 
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ranking, segmentation
@@ -57,11 +62,14 @@ def standardize(spark, folder):
 
 
 def line_points(spark, folder):
-    """Lines as 0/1 vectors: one distinct point per return flag and line status."""
+    """Lines as 0/1 vectors, one distinct point per return flag and line status, and the same in a fixed layout, cached."""
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    dummies = fitted_dummies(segmentation.fixed_layout(lines, "l_orderkey"), ["l_returnflag", "l_linestatus"])
+    dummies = fitted_dummies(lines, ["l_returnflag", "l_linestatus"])
     names = [c for c in dummies.columns if c not in lines.columns]
-    return segmentation.standardize(dummies, names)[1]
+    points = segmentation.standardize(dummies, names)[1]
+    needed = points.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "features")
+    laid = needed.repartition(segmentation.PARTITIONS, "l_orderkey", "l_linenumber")
+    return points, laid.sortWithinPartitions("l_orderkey", "l_linenumber").select("features").cache()
 
 
 KNOWN_SEGMENTS_SQL = """
@@ -78,16 +86,22 @@ def known_segments(predictions):
 
 @query("kmeans_segments", KNOWN_SEGMENTS_SQL)
 def kmeans_segments(spark, folder):
-    points = line_points(spark, folder)
-    return known_segments(segmentation.fit_kmeans(points, 6).transform(points))
+    points, vectors = line_points(spark, folder)
+    try:
+        return known_segments(segmentation.fit_kmeans(vectors, 6).transform(points))
+    finally:
+        vectors.unpersist()
 
 
 @query("model_roundtrip", KNOWN_SEGMENTS_SQL)
 def model_roundtrip(spark, folder):
     """The same, with the assignment done by the model read back from storage."""
-    points = line_points(spark, folder)
+    points, vectors = line_points(spark, folder)
     path = fresh_path(spark, "kmeans")
-    segmentation.fit_kmeans(points, 6).write().overwrite().save(path)
+    try:
+        segmentation.fit_kmeans(vectors, 6).write().overwrite().save(path)
+    finally:
+        vectors.unpersist()
     return known_segments(KMeansModel.load(path).transform(points))
 
 
@@ -120,28 +134,67 @@ def cluster_shares(spark, folder):
     return shares.withColumn("share", F.round("share", 6))
 
 
+def _closed_form(name: str, group: str, features: list[str]) -> str:
+    """SQL for the mean silhouette of the groups of customers with the given features, as the table ``name``."""
+    f = ", ".join(f"{x} as f{i}" for i, x in enumerate(features))
+    square = " + ".join(f"f{i} * f{i}" for i in range(len(features)))
+    sums = ", ".join(f"sum(f{i}) as y{i}" for i in range(len(features)))
+    dot = " + ".join(f"f{i} * y{i}" for i in range(len(features)))
+    return f"""{name}_p as (select c_custkey as id, {group} as g, {f} from customer),
+    {name}_c as (select g, count(*)::double as n, {sums}, sum({square}) as psi from {name}_p group by g),
+    {name}_d as (select p.id, p.g as pg, c.g as cg, n, ({square}) + psi / n - 2 * ({dot}) / n as dist
+      from {name}_p p cross join {name}_c c),
+    {name}_s as (select id, max(case when pg = cg and n > 1 then dist * n / (n - 1) end) as a,
+      min(case when pg <> cg then dist end) as b from {name}_d group by id),
+    {name} as (select avg(case when a is null then 0 else (b - a) / greatest(a, b) end) as silhouette from {name}_s)"""
+
+
+POINTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
 @query(
     "share_rule",
-    """with s as (select label, count(*)::double / (select count(*) from embeddings) as share from embeddings group by label),
+    f"""with {_closed_form("apart", "c_mktsegment", [f"(c_mktsegment = '{p}')::int::double" for p in POINTS])},
+    {_closed_form("mixed", "c_mktsegment", ["c_acctbal / 1000", "c_nationkey::double"])},
+    s as (select count(*)::double / (select count(*) from customer) as share from customer group by c_mktsegment),
     m as (select min(share) as lo, max(share) as hi from s)
-    select 'loose' as rule, round(lo, 6) as min_share, round(hi, 6) as max_share,
+    select 'shares only' as rule, round(lo, 6) as min_share, round(hi, 6) as max_share, null::double as silhouette,
       lo >= 0.01::double and hi <= 0.45::double as accepted from m
-    union all
-    select 'regulator', round(lo, 6), round(hi, 6), lo >= 0.05::double and hi <= 0.30::double from m
-    union all
-    select 'large only', round(lo, 6), round(hi, 6), lo >= 0.15::double and hi <= 0.30::double from m""",
+    union all select 'regulator, apart', round(lo, 6), round(hi, 6), round(silhouette, 6),
+      lo >= 0.05::double and hi <= 0.30::double and silhouette > 0.5::double from m, apart
+    union all select 'regulator, mixed', round(lo, 6), round(hi, 6), round(silhouette, 6),
+      lo >= 0.05::double and hi <= 0.30::double and silhouette > 0.5::double from m, mixed
+    union all select 'too large, apart', round(lo, 6), round(hi, 6), round(silhouette, 6),
+      lo >= 0.25::double and hi <= 0.30::double and silhouette > 0.5::double from m, apart""",
 )
 def share_rule(spark, folder):
-    shares = segmentation.cluster_shares(table(spark, folder, "embeddings"), "label")
-    rules = {"loose": ShareRule(), "regulator": REGULATOR_RULE, "large only": ShareRule(0.15, 0.30)}
+    """Market segments as segments: the same shares pass or fail by the silhouette of their features."""
+    customers = customer_numbers(spark, folder)
+    points = fitted_dummies(customers.select("c_custkey", "c_mktsegment"), ["c_mktsegment"])
+    columns = {"apart": [c for c in points.columns if c.startswith("c_mktsegment_")], "mixed": ["balance", "nation"]}
+    values = {}
+    for name, df in (("apart", points), ("mixed", customers)):
+        vectors = VectorAssembler(inputCols=columns[name], outputCol="features").transform(df)
+        indexed = ranking.string_index(vectors, ["c_mktsegment"])[1]
+        values[name] = segmentation.silhouette(indexed, "c_mktsegment_idx")
+    shares = segmentation.cluster_shares(customers, "c_mktsegment")
+    cases = [
+        ("shares only", ShareRule(), None),
+        ("regulator, apart", REGULATOR_RULE, values["apart"]),
+        ("regulator, mixed", REGULATOR_RULE, values["mixed"]),
+        ("too large, apart", ShareRule(0.25, 0.30, 0.5), values["apart"]),
+    ]
     checked = [
-        segmentation.share_rule(shares, rule).select(
-            F.lit(name).alias("rule"), F.round("min_share", 6).alias("min_share"),
-            F.round("max_share", 6).alias("max_share"), "accepted",
+        segmentation.share_rule(shares, rule, value).select(
+            F.lit(name).alias("rule"),
+            F.round("min_share", 6).alias("min_share"),
+            F.round("max_share", 6).alias("max_share"),
+            F.round(F.lit(value).cast("double"), 6).alias("silhouette"),
+            "accepted",
         )
-        for name, rule in rules.items()
+        for name, rule, value in cases
     ]
-    return checked[0].unionByName(checked[1]).unionByName(checked[2])
+    return reduce(DataFrame.unionByName, checked)
 
 
 @query(
@@ -160,10 +213,10 @@ def cluster_profile(spark, folder):
       round(median(l_discount), 6) as median_l_discount from lineitem group by l_linestatus""",
 )
 def cluster_profile_large(spark, folder):
-    """The search for the middle value, as used where a segment exceeds one buffer."""
+    """Two large segments: the middle is bracketed before its values are counted."""
     lines = table(spark, folder, "lineitem")
     measures = ["l_quantity", "l_extendedprice", "l_discount"]
-    return segmentation.cluster_profile(lines, measures, "l_linestatus", 6, buffered_values=0)
+    return segmentation.cluster_profile(lines, measures, "l_linestatus", 6)
 
 
 @query(
@@ -180,22 +233,23 @@ def string_index(spark, folder):
 @query(
     "segment_entities",
     """select c_mktsegment, count(*)::bigint as entities, 1::bigint as segments, 5::int as best_k,
-      1.0::double as silhouette from customer group by c_mktsegment""",
+      1.0::double as silhouette, round(sum(c_acctbal), 2) as kept_balance from customer group by c_mktsegment""",
 )
 def segment_entities(spark, folder):
     """Customers form one point per market segment: five segments separate them fully."""
-    customers = table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
+    customers = table(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     dummies = fitted_dummies(customers, ["c_mktsegment"])
     names = [c for c in dummies.columns if c not in customers.columns]
     result = segmentation.segment(
         dummies, names, "c_custkey", SweepOptions(ks=tuple(range(2, 8)), rule=REGULATOR_RULE)
     )
-    labelled = result.predictions.select("c_custkey", "prediction").join(customers, "c_custkey")
-    return labelled.groupBy("c_mktsegment").agg(
+    # The predictions keep the columns that are no features.
+    return result.predictions.groupBy("c_mktsegment").agg(
         F.count(F.lit(1)).alias("entities"),
         F.countDistinct("prediction").alias("segments"),
         F.lit(result.best_k).alias("best_k"),
         F.lit(round(result.silhouette, 6)).alias("silhouette"),
+        F.round(F.sum("c_acctbal"), 2).alias("kept_balance"),
     )
 
 
@@ -221,53 +275,151 @@ def k_sweep_known_points(spark, folder):
     return segmentation.sweep_table(spark, sweep).withColumns(rounded)
 
 
-@query("k_sweep")
+@query(
+    "k_sweep",
+    """select k::int as k, true as silhouette_right, true as shares_right, true as accepted_right
+    from (select unnest(range(2, 21)) as k)""",
+)
 def k_sweep(spark, folder):
-    """Every number of segments from 2 to 20 on two numeric customer features."""
+    """Every number of segments from 2 to 20 on two numeric customer features, each entry checked by its closed form."""
     numbers = customer_numbers(spark, folder).drop("c_mktsegment")
     _, scaled = segmentation.standardize(segmentation.fixed_layout(numbers, "c_custkey"), ["balance", "nation"])
     vectors = scaled.select("features").cache()
     try:
-        return segmentation.sweep_table(spark, segmentation.k_sweep(vectors))
+        sweep = segmentation.k_sweep(vectors)
+        with ThreadPool(8) as pool:
+            checks = [inheritable_thread_target(spark)(partial(_entry_checks, e, vectors)) for e in sweep]
+            rows = [(e["k"], *right) for e, right in zip(sweep, pool.map(lambda check: check(), checks, chunksize=1))]
     finally:
         vectors.unpersist()
+    return spark.createDataFrame(rows, "k int, silhouette_right boolean, shares_right boolean, accepted_right boolean")
 
 
-def _ranked(spark, folder):
-    """Customer features with a segment label, and the ranking that explains it."""
-    numeric, categorical = feature_names(RETAIL)
-    table_ = customer_features(spark, folder)
-    first = segmentation.segment(
-        table_, [*numeric, *categorical], "c_custkey", SweepOptions(ks=(3, 4, 5), rule=ShareRule(0.0, 1.0))
+def _entry_checks(entry, vectors):
+    """Whether silhouette, shares and verdict of a sweep entry follow from sums per segment."""
+    z = vector_to_array("features")
+    points = entry["model"].transform(vectors).select("prediction", z[0].alias("x"), z[1].alias("y"))
+    sums = points.groupBy("prediction").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"),
+        F.sum(F.col("x") * F.col("x") + F.col("y") * F.col("y")).alias("psi"),
+    ).collect()  # one row per segment
+
+    def distance(s):
+        own = F.col("x") * F.col("x") + F.col("y") * F.col("y")
+        return own + s["psi"] / s["n"] - 2 * (F.col("x") * s["sx"] + F.col("y") * s["sy"]) / s["n"]
+
+    inside = F.coalesce(
+        *[F.when(F.col("prediction") == s["prediction"], distance(s) * s["n"] / max(s["n"] - 1, 1)) for s in sums]
+    )
+    outside = [F.when(F.col("prediction") != s["prediction"], distance(s)) for s in sums]
+    single = [s["prediction"] for s in sums if s["n"] == 1]
+    nearest = F.least(*outside) if len(outside) > 1 else outside[0]
+    value = F.when(F.col("prediction").isin(single), 0.0).otherwise((nearest - inside) / F.greatest(nearest, inside))
+    silhouette = points.agg(F.avg(value)).first()[0]
+    total = sum(s["n"] for s in sums)
+    smallest, largest = min(s["n"] for s in sums) / total, max(s["n"] for s in sums) / total
+    return (
+        abs(silhouette - entry["silhouette"]) < 1e-6,
+        entry["segments"] == len(sums) and (smallest, largest) == (entry["min_share"], entry["max_share"]),
+        entry["accepted"] == (smallest >= 0.01 and largest <= 0.45),
     )
-    labelled = stage(first.predictions.drop("numeric_features", "features"), "predictions")
-    labelled = labelled.withColumnRenamed("prediction", "cluster")
-    return table_, numeric, categorical, ranking.rank_features(labelled, "cluster", numeric, categorical, "c_custkey")
 
 
-@query("feature_ranking")
+def _labelled(spark, folder):
+    """Customers labelled by their market segment, which one feature gives away; two others are constant."""
+    customers = table(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    indexed = ranking.string_index(customers, ["c_mktsegment"])[1]
+    return indexed.select(
+        "c_custkey", F.col("c_mktsegment_idx").alias("cluster"), F.col("c_mktsegment_idx").alias("signal"),
+        F.lit(1.0).alias("flat"), F.lit("same").alias("label"),
+    )
+
+
+@query(
+    "feature_ranking",
+    """select 'signal' as feature, 1.0::double as importance, 1::int as rank
+    union all select 'flat', 0.0::double, 2::int union all select 'label', 0.0::double, 3::int""",
+)
 def feature_ranking(spark, folder):
-    ranked = _ranked(spark, folder)[-1]
+    """Stored and read back: the feature that is the label explains everything, constants follow in input order."""
+    ranked = ranking.rank_features(_labelled(spark, folder), "cluster", ["flat", "signal"], ["label"], "c_custkey")
     path = fresh_path(spark, "ranking")
     save_ranking(ranked.table, path)
-    return load_ranking(spark, path).orderBy(F.desc("importance"), "rank")
+    return load_ranking(spark, path).withColumn("importance", F.round("importance", 6))
 
 
-@query("top_k_features")
+@query(
+    "top_k_features",
+    """with p as (select p_brand, avg(p_retailprice) as price, count(*) as n, p_size from part group by p_brand, p_size),
+    r as (select 'p' || p_size as feature, sum(n) as total from p group by p_size),
+    best as (select feature, row_number() over (order by total desc, feature) as rank from r)
+    select feature, case when substr(feature, -1) in ('0', '2', '4', '6', '8') then 'numeric' else 'categorical' end as role
+    from best where rank <= 7""",
+)
 def top_k_features(spark, folder):
-    _, numeric, categorical, ranked = _ranked(spark, folder)
-    best_numeric, best_categorical = ranking.top_k_features(ranked.table, 7, numeric, categorical)
-    rows = [(f, "numeric") for f in best_numeric] + [(f, "categorical") for f in best_categorical]
-    return spark.createDataFrame(rows, "feature string, role string")
+    """The most frequent part sizes as a ranking of known importances; even ones count as numeric features."""
+    sizes = table(spark, folder, "part").groupBy(F.concat(F.lit("p"), F.col("p_size")).alias("feature"))
+    counted = sizes.agg(F.count(F.lit(1)).cast("double").alias("importance")).collect()  # one row per size
+    ordered = sorted(counted, key=lambda r: (-r["importance"], r["feature"]))
+    rows = [(r["feature"], r["importance"], n) for n, r in enumerate(ordered, start=1)]
+    known = spark.createDataFrame(rows, "feature string, importance double, rank int")
+    even = [r[0] for r in rows if int(r[0][1:]) % 2 == 0]
+    odd = [r[0] for r in rows if int(r[0][1:]) % 2 == 1]
+    numeric, categorical = ranking.top_k_features(known, 7, even, odd)
+    found = [(f, "numeric") for f in numeric] + [(f, "categorical") for f in categorical]
+    return spark.createDataFrame(found, "feature string, role string")
 
 
-@query("refit_top_k")
+@query(
+    "refit_top_k",
+    """select c_mktsegment, count(*)::bigint as entities, 1::bigint as segments, 5::bigint as best_k,
+      round(sum(c_acctbal), 2) as kept_balance, max((c_mktsegment = 'BUILDING')::int)::double as median_building
+    from customer group by c_mktsegment""",
+)
 def refit_top_k(spark, folder):
-    """Profile of the segments found with the seven most important features."""
-    table_, numeric, categorical, ranked = _ranked(spark, folder)
+    """The best five of six features are one point per market segment; the sixth, noise, is left out."""
+    customers = table(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    dummies = fitted_dummies(customers, ["c_mktsegment"])
+    names = [c for c in dummies.columns if c not in customers.columns]
+    rows = [(n, 1.0 / (i + 2), i + 1) for i, n in enumerate(names)] + [("c_acctbal", 0.01, len(names) + 1)]
+    known = spark.createDataFrame(rows, "feature string, importance double, rank int")
     best, refit = ranking.refit_top_k(
-        table_, ranked.table, 7, numeric, categorical, "c_custkey",
-        SweepOptions(ks=(3, 4, 5), rule=ShareRule(0.0, 1.0)),
+        dummies, known, len(names), ["c_acctbal"], names, "c_custkey",
+        SweepOptions(ks=(4, 5, 6), rule=REGULATOR_RULE),
     )
     predictions = stage(refit.predictions.drop("numeric_features", "features"), "refit-predictions")
-    return segmentation.cluster_profile(predictions, best)
+    profile = segmentation.cluster_profile(predictions, best)
+    summed = predictions.groupBy("c_mktsegment").agg(
+        F.count(F.lit(1)).alias("entities"),
+        F.countDistinct("prediction").alias("segments"),
+        F.lit(refit.best_k).cast("long").alias("best_k"),
+        F.round(F.sum("c_acctbal"), 2).alias("kept_balance"),
+        F.min("prediction").alias("prediction"),
+    )
+    median = F.col("median_c_mktsegment_BUILDING").alias("median_building")
+    return summed.join(profile.select("prediction", median), "prediction").drop("prediction")
+
+
+RANKED_SQL = """select count(distinct o_custkey)::bigint as entities, 7::bigint as features, true as ranks_right
+  from orders"""
+
+
+@query("customer_ranking", RANKED_SQL)
+def customer_ranking(spark, folder):
+    """Customer features, their segments, the forest's ranking of the features, and the refit on the best seven."""
+    numeric, categorical = feature_names(RETAIL)
+    features = customer_features(spark, folder)
+    options = SweepOptions(ks=(3, 4, 5), rule=ShareRule(0.0, 1.0))
+    first = segmentation.segment(features, [*numeric, *categorical], "c_custkey", options)
+    labelled = stage(first.predictions.drop("numeric_features", "features"), "predictions")
+    labelled = labelled.withColumnRenamed("prediction", "cluster")
+    ranked = ranking.rank_features(labelled, "cluster", numeric, categorical, "c_custkey")
+    rows = ranked.table.orderBy("rank").collect()  # one row per feature
+    falling = all(a["importance"] >= b["importance"] for a, b in zip(rows, rows[1:]))
+    right = falling and len(rows) == len(numeric) + len(categorical) and abs(sum(r["importance"] for r in rows) - 1) < 1e-9
+    best, refit = ranking.refit_top_k(features, ranked.table, 7, numeric, categorical, "c_custkey", options)
+    kept = refit.predictions.filter(F.col("prediction").between(0, refit.best_k - 1))
+    return kept.agg(
+        F.countDistinct("c_custkey").alias("entities"), F.lit(len(best)).cast("long").alias("features"),
+        F.lit(right).alias("ranks_right"),
+    )

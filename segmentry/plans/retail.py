@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import enrich
+from ..operators.joins import attach
 from ..spec import DatasetSpec, LabelGroups
 
 RETAIL = DatasetSpec(
@@ -55,7 +55,7 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
         "o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderstatus", "o_orderpriority", "o_totalprice"
     )
     customers = table(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
-    return enrich(orders, customers, "c_custkey", "inner")
+    return attach(orders, customers, "c_custkey", "inner")
 
 
 def raw_transactions(spark: SparkSession, folder: str) -> DataFrame:

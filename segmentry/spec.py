@@ -7,6 +7,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import types as T
 
+# Names of the behaviour metrics.
 METRICS = (
     "avg_transaction_amount",
     "transaction_count",
@@ -43,11 +44,14 @@ class ShareRule:
         if not 0.0 <= self.min_share <= self.max_share <= 1.0:
             raise ValueError(f"shares must satisfy 0 <= min <= max <= 1: {self}")
 
-    def accepts(self, smallest: float, largest: float, silhouette: float | None = None) -> bool:
-        inside = smallest >= self.min_share and largest <= self.max_share
+    def accepts(self, smallest, largest, silhouette=None):
+        """Whether the shares, and the silhouette if the rule names one, pass; takes numbers or columns."""
+        inside = (smallest >= self.min_share) & (largest <= self.max_share)
         if self.min_silhouette is None:
             return inside
-        return inside and silhouette is not None and silhouette > self.min_silhouette
+        if silhouette is None:
+            raise ValueError(f"the rule needs a silhouette: {self}")
+        return inside & (silhouette > self.min_silhouette)
 
 
 # The quality target recommended for regulated segmentations.

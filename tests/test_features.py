@@ -52,9 +52,8 @@ def test_entity_table_equals_distinct_joined_with_behaviour(spark):
     wanted = entities.distinct_entities(df, list(BANK.entity_columns))
     wanted = wanted.join(entities.entity_behavior(df, BANK), "cli", "left")
     wanted = wanted.join(entities.entity_medians(df, BANK), "cli", "left")
-    for limit in (1_000, 0):
-        table = entities.entity_table(df, BANK, broadcast_cells=limit)
-        assert sorted(map(str, table.select(*wanted.columns).collect())) == sorted(map(str, wanted.collect()))
+    table = entities.entity_table(df, BANK)
+    assert sorted(map(str, table.select(*wanted.columns).collect())) == sorted(map(str, wanted.collect()))
     joined = entities.entity_join(
         entities.distinct_entities(df, list(BANK.entity_columns)), entities.entity_behavior(df, BANK), "cli"
     )

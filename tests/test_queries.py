@@ -17,22 +17,6 @@ def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
-def test_k_sweep_lists_every_k(spark, small):
-    rows = QUERIES["k_sweep"](spark, small).collect()
-    assert [r["k"] for r in rows] == list(range(2, 21))
-    assert all(-1 <= r["silhouette"] <= 1 for r in rows)
-
-
-def test_ranking_and_refit(spark, small):
-    ranked = QUERIES["feature_ranking"](spark, small).collect()
-    assert [r["rank"] for r in ranked] == list(range(1, len(ranked) + 1))
-    assert sum(r["importance"] for r in ranked) == pytest.approx(1.0)
-    best = [r["feature"] for r in ranked[:7]]
-    assert {r["feature"] for r in QUERIES["top_k_features"](spark, small).collect()} == set(best)
-    profile = QUERIES["refit_top_k"](spark, small)
-    assert set(profile.columns) == {"prediction", *[f"median_{f}" for f in best]}
-
-
 def test_entry_has_one_row_per_customer_with_orders(spark):
     table = entry(spark)
     assert table.count() == table.select("c_custkey").distinct().count() > 0

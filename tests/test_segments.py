@@ -103,7 +103,8 @@ def test_rules():
     assert ShareRule().accepts(0.01, 0.45) and not ShareRule().accepts(0.009, 0.4)
     assert REGULATOR_RULE.accepts(0.05, 0.30, 0.51)
     assert not REGULATOR_RULE.accepts(0.05, 0.30, 0.5) and not REGULATOR_RULE.accepts(0.05, 0.31, 0.9)
-    assert not REGULATOR_RULE.accepts(0.1, 0.2)
+    with pytest.raises(ValueError, match="silhouette"):
+        REGULATOR_RULE.accepts(0.1, 0.2)
     with pytest.raises(ValueError):
         ShareRule(0.5, 0.4)
 
@@ -114,6 +115,21 @@ def test_shares_sum_to_one_and_the_rule_reads_them(spark, result):
     assert math.isclose(sum(r["share"] for r in rows), 1.0) and sum(r["count"] for r in rows) == 400
     assert share_rule(shares, ShareRule()).first()["accepted"]
     assert not share_rule(shares, ShareRule(0.26, 1.0)).first()["accepted"]
+    assert share_rule(shares, REGULATOR_RULE, 0.6).first()["accepted"]
+    assert not share_rule(shares, REGULATOR_RULE, 0.5).first()["accepted"]
+    with pytest.raises(ValueError, match="silhouette"):
+        share_rule(shares, REGULATOR_RULE)
+
+
+def test_predictions_keep_every_column(result):
+    assert {"key", "x", "y", "flat", "gap", "truth", "prediction"} <= set(result.predictions.columns)
+    assert result.predictions.filter("truth <> key % 4").count() == 0
+
+
+def test_five_thousand_labels(spark):
+    df = spark.range(10_000).select((F.col("id") % 5_000).cast("string").alias("c"))
+    model, out = ranking.string_index(df, ["c"])
+    assert len(model.labelsArray[0]) == 5_000 and out.agg(F.max("c_idx")).first()[0] == 4_999
 
 
 def test_profile_is_the_rounded_median(spark, result):
