@@ -34,14 +34,16 @@ def main(arguments: list[str] | None = None) -> None:
         seed=chosen.seed,
         parallelism=chosen.parallel_fits,
     )
-    result = run_segmentation(
-        spark, chosen.source, chosen.output, BANK, options, chosen.top_features, chosen.sample_rows
-    )
+    try:
+        result = run_segmentation(
+            spark, chosen.source, chosen.output, BANK, options, chosen.top_features, chosen.sample_rows
+        )
+    finally:
+        drop_staged(spark)
     result.ranking.show(len(result.top_features), truncate=False)
     result.sweep.orderBy("k").show(len(options.ks))
     result.shares.orderBy("prediction").show()
     result.profile.orderBy("prediction").show(truncate=False)
-    drop_staged(spark)
 
 
 if __name__ == "__main__":

@@ -1,6 +1,6 @@
 """All registered queries; importing the modules registers them."""
 
-from . import catalog_cleaning, catalog_features, catalog_profile, catalog_segments  # noqa: F401
+from . import catalog_cleaning, catalog_features, catalog_flow, catalog_profile, catalog_segments  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

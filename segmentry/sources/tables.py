@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,14 +53,48 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table stored at ``path``; built and stored first if it is not complete.
+def manifest(step: str, *inputs) -> str:
+    """Digest of what a step's result depends on: its name, its arguments, the manifests of the steps before it."""
+    return hashlib.sha256("\n".join([step, *map(repr, inputs)]).encode()).hexdigest()
+
+
+def source_manifest(spark: SparkSession, path: str) -> str:
+    """Digest of the names, sizes and times of all files below ``path``; their contents are not read."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+    return manifest(path, *sorted(map(tuple, files.collect())))
+
+
+def is_complete(spark: SparkSession, path: str, wanted: str | None = None) -> bool:
+    """Whether the table at ``path`` was written to its end and, given a manifest, for that manifest."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        return False
+    if wanted is None:
+        return True
+    return exists(spark, f"{path}.manifest/_SUCCESS") and spark.read.text(f"{path}.manifest").first()[0] == wanted
+
+
+def store(df: DataFrame, path: str, written_for: str | None = None) -> None:
+    """Overwrite the table at ``path``; its manifest follows once the table is complete."""
+    if written_for is None:
+        df.write.mode("overwrite").parquet(path)
+        return
+    spark = df.sparkSession
+    line = spark.createDataFrame([(written_for,)], "manifest string").coalesce(1)
+    spark.createDataFrame([("",)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}.manifest")
+    df.write.mode("overwrite").parquet(path)
+    line.write.mode("overwrite").text(f"{path}.manifest")
+
+
+def materialize(
+    spark: SparkSession, path: str, build: Callable[[], DataFrame], wanted: str | None = None
+) -> DataFrame:
+    """The table stored at ``path``; built and stored first if it is not complete or has another manifest.
 
     Only a finished write leaves ``_SUCCESS`` behind, so a half-written folder
     is built again and a real read error is not mistaken for a missing table.
     """
-    if not exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
+    if not is_complete(spark, path, wanted):
+        store(build(), path, wanted)
     return spark.read.parquet(path)
 
 

@@ -59,7 +59,7 @@ def test_flow_separates_the_kinds_of_customers(result):
 def test_the_report_has_all_sections(result):
     assert set(result.report) == {
         "missing_counts", "numeric_summary", "category_frequency", "numeric_moments", "risk_patterns",
-        "entity_behavior", "correlation_matrix",
+        "entity_behavior", "correlation_matrix", "entity_conflicts",
     }
     counts = {r["column"]: r["missing"] for r in result.report["missing_counts"].collect()}
     assert counts["ing_mes"] == 40 and counts["mun_res"] == 40 and counts["cli"] == 0
@@ -76,3 +76,26 @@ def test_a_second_run_reads_what_is_stored(spark, folders, result, monkeypatch):
     again = flow.run_segmentation(spark, *folders, BANK, OPTIONS, sample_rows=25)
     assert again.top_features == result.top_features
     assert again.sample.collect() == result.sample.collect()
+
+
+def rebuilt(monkeypatch, spark, folders, spec=BANK, options=OPTIONS, sample_rows=25):
+    """Names of the steps that a run computes again."""
+    steps = []
+    for step in ("clean_columns", "fit_labels", "build_features", "segment", "rank_features", "profile_sample"):
+        plain = getattr(flow, step)
+        monkeypatch.setattr(flow, step, lambda *a, _plain=plain, _name=step, **k: steps.append(_name) or _plain(*a, **k))
+    flow.run_segmentation(spark, *folders, spec, options, sample_rows=sample_rows)
+    monkeypatch.undo()
+    return steps
+
+
+def test_a_changed_run_computes_the_steps_it_affects(spark, folders, result, monkeypatch):
+    assert rebuilt(monkeypatch, spark, folders) == []
+    assert rebuilt(monkeypatch, spark, folders, sample_rows=10) == ["profile_sample"]
+    other = SweepOptions(ks=(2, 3), rule=OPTIONS.rule)
+    assert rebuilt(monkeypatch, spark, folders, options=other) == ["segment", "rank_features", "segment", "profile_sample"]
+    changed = rebuilt(monkeypatch, spark, folders, spec=BANK.with_(rare_share=0.01))
+    assert changed[:3] == ["clean_columns", "fit_labels", "build_features"] and "segment" in changed
+    with open(f"{folders[0]}/part1.csv", "a", encoding="utf-8") as file:
+        file.write(",".join({**DEFAULTS, "cli": "99"}[c] for c in BANK.columns) + "\n")
+    assert "clean_columns" in rebuilt(monkeypatch, spark, folders, spec=BANK.with_(rare_share=0.01))
