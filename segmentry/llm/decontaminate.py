@@ -22,7 +22,7 @@ BETWEEN = re.compile(r"[\W_]+")
 class LeakRules:
     """Production parameters: edits allowed per character of the normal item, and text held by one block of items."""
 
-    error_rate: float = 0.05
+    error_rate: float = 0.08
     block_chars: int = 4_000_000
 
 
@@ -163,7 +163,7 @@ def leaks(
     """Best match of every test item in every document that holds it: ``doc_id``, ``item_id``, ``distance``, span.
 
     Both sides are compared as lower-cased letters and digits with one blank between words; ``start`` and
-    ``end`` count characters of that form. A document holds an item if some substring is within 5 % of
+    ``end`` count characters of that form. A document holds an item if some substring is within 8 % of
     the item's characters in edits. An item is cut into that budget plus one pieces, one of
     which must occur unchanged; hits are verified around their place. NULL, empty and wordless texts and
     items match nothing; equal items each match; NULL ids are carried; repeated documents each give their rows.

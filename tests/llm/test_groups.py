@@ -258,7 +258,7 @@ def test_leaks_against_all_substrings(spark):
         for item, pattern in items:
             p = decontaminate.normal_text(pattern)
             distance = best_match(p, decontaminate.normal_text(text))
-            if distance <= int(len(p) * 0.05):
+            if distance <= int(len(p) * rules.error_rate):
                 wanted[i, item] = distance
     assert {k: r.distance for k, r in got.items()} == wanted and len(set(wanted.values())) > 2
     plain = dict(texts)
