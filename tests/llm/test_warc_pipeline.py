@@ -53,7 +53,7 @@ def expected(rows):
     return result
 
 
-@pytest.mark.parametrize("split", ["300", "700", "128m"])
+@pytest.mark.parametrize("split", ["700", "128m"])
 def test_round_trip_in_splits_of_any_size(spark, split):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
     try:
