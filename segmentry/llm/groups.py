@@ -55,8 +55,9 @@ def linked_components(
     is tried against the bucket's smallest id. Pairs whose ends are then in one component
     cannot change the result; all others are tried. So a bucket that is one
     group of copies costs one pair per member, and no link between components is lost.
-    ``describe`` adds columns to a table of the ids that are still open, and ``possible`` (given the prefixes of
-    the two sides' columns) is false only for pairs that ``verify`` would drop; they are never made.
+    ``describe`` adds columns to a table of the ids that are still open, and may drop ids without any link.
+    ``possible`` (given the prefixes of the two sides' columns, ``key`` among them) is false only for pairs that
+    ``verify`` would drop or that another shared bucket makes; they are never made.
     """
     ends = buckets.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).filter("head < tail")
     members = stage(buckets.join(ends.select("key", "head"), "key"), "bucket-members")

@@ -223,6 +223,13 @@ def can_be_similar(a: str, b: str, similarity: float) -> Column:
     return plain | (repeats & weighted[0] & weighted[1])
 
 
+def open_texts(texts: DataFrame, bands: DataFrame, rules: NearRules) -> DataFrame:
+    """Counts and band keys of the texts, without those of which more than a fifth is found nowhere else."""
+    counts = shingle_counts(texts, rules)
+    enough = F.greatest(F.col("shared") / F.col("size"), F.col("shared_weight") / F.col("weight"))
+    return counts.filter(enough >= rules.similarity - 1e-9).join(bands, "id")
+
+
 def near_duplicates(
     df: DataFrame, key: str = "doc_id", text: str = "text", rules: NearRules | None = None
 ) -> DataFrame:
@@ -267,8 +274,9 @@ def near_duplicates(
     grouped = linked_components(
         buckets,
         lambda pairs: verified(pairs, texts, rules),
-        lambda ids: shingle_counts(texts.join(ids, "id"), rules),
-        lambda a, b: can_be_similar(a, b, rules.similarity),
+        lambda ids: open_texts(texts.join(ids, "id"), distinct.select("id", "bands"), rules),
+        lambda a, b: can_be_similar(a, b, rules.similarity)
+        & (F.array_min(F.array_intersect(F.col(a + "bands"), F.col(b + "bands"))) == F.col(a + "key")),
     )
     placed = distinct.join(grouped, "id", "left").select(
         "words", "first", "copies", F.coalesce("component", "id").alias("component")
