@@ -103,5 +103,6 @@ class Named:
 
 def test_the_cluster_names_the_folder():
     assert staging.checkpoint_dir(Named("s3a://shared/cp/", "yarn")) == "s3a://shared/cp"
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        staging.checkpoint_dir(Named(None, "spark://host:7077"))
+    unnamed = Named(None, "spark://host:7077")
+    unnamed.conf["spark.sql.warehouse.dir"] = "s3a://shared/warehouse"
+    assert staging.checkpoint_dir(unnamed) == "s3a://shared/warehouse/staging"
