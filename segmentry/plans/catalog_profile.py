@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import cleaning, locations, profiling
 from ..sources.staging import fresh_path, stage
 from ..sources.tables import load_report, save_report
+from ..spec import METRICS
+from .catalog_cleaning import CLEANED_SQL
 from .registry import query
 from .retail import RETAIL, raw_transactions, table, transactions
 
@@ -182,68 +184,98 @@ def profile_sample(spark, folder):
     return locations.profile_sample(customers, 100, ["c_custkey"])
 
 
-OVERVIEW_SQL = """
-with o as (select o_orderstatus, lower(nullif(o_orderpriority, '4-NOT SPECIFIED')) as o_orderpriority,
-    o_totalprice, c_acctbal, lower(c_mktsegment) as c_mktsegment
-  from orders join customer on c_custkey = o_custkey)
-""" + " union all ".join(
-    [
-        f"""select 'missing_counts' as section, '{c}' as "column", 'missing' as metric,
-        count(*) filter ({c} is null)::double as value from o"""
-        for c in ("o_orderstatus", "o_orderpriority", "o_totalprice", "c_acctbal", "c_mktsegment")
-    ]
-    + [
-        f"""select 'numeric_summary', '{c}', '{m}', round({e}, 6)::double from o"""
-        for c in ("c_acctbal", "o_totalprice")
-        for m, e in (("count", f"count({c})"), ("mean", f"avg({c})"), ("stddev", f"stddev_samp({c})"))
-    ]
-    + [
-        f"""select 'category_frequency', '{c}', coalesce({c}, 'NULL'), count(*)::double from o group by {c}"""
-        for c in ("c_mktsegment", "o_orderpriority")
-    ]
-    + [
-        """select 'correlation_matrix', 'c_acctbal', 'o_totalprice', round(corr(c_acctbal, o_totalprice), 6) from o""",
-        """select 'entity_behavior', 'c_custkey', 'entities', count(distinct c_custkey)::double from customer
-        where c_custkey in (select o_custkey from orders)""",
-    ]
+ALL_COLUMNS = list(RETAIL.columns)
+MOMENTS = {
+    "mean": "avg({c})",
+    "stddev": "stddev_samp({c})",
+    "min": "min({c})",
+    "max": "max({c})",
+    "skewness": "avg(({c} - {c}_mean) ** 3) / var_pop({c}) ** 1.5",
+    "kurtosis": "avg(({c} - {c}_mean) ** 4) / var_pop({c}) ** 2 - 3",
+}
+BEHAVIOR = {
+    "avg_transaction_amount": "avg(o_totalprice)",
+    "transaction_count": "count(o_totalprice)",
+    "cash_transactions": "count(*) filter (o_orderstatus = 'f')",
+    "monthly_income": "max(c_acctbal)",
+    "monthly_expenses": "max(o_totalprice)",
+}
+
+
+def _cell(section: str, column: str, metric: str, value: str, source: str = "o", group: str = "") -> str:
+    return (
+        f"select '{section}' as section, '{column}' as \"column\", {metric} as metric, "
+        f"round(({value})::double, 3) as value from {source} {group}"
+    )
+
+
+OVERVIEW_SQL = (
+    f"""with {CLEANED_SQL},
+    o as (select *, avg(c_acctbal) over () as c_acctbal_mean, avg(o_totalprice) over () as o_totalprice_mean from prepared),
+    b as (select c_custkey, {", ".join(f"{e} as {m}" for m, e in BEHAVIOR.items())} from prepared group by c_custkey)
+    """
+    + " union all ".join(
+        [
+            _cell("missing_counts", c, f"'{m}'", v.format(c=c))
+            for c in ALL_COLUMNS
+            for m, v in (("missing", "count(*) filter ({c} is null)"), ("total", "count(*)"))
+        ]
+        + [_cell("numeric_summary", c, "'count'", f"count({c})") for c in RETAIL.numeric]
+        + [
+            _cell(section, c, f"'{m}'", MOMENTS[m].format(c=c))
+            for section, names in (("numeric_summary", list(MOMENTS)[:4]), ("numeric_moments", MOMENTS))
+            for c in RETAIL.numeric
+            for m in names
+        ]
+        + [
+            _cell("category_frequency", c, f"coalesce({c}, 'NULL') || '{m}'", v, "o", f"group by {c}")
+            for c in RETAIL.profiled_categories
+            for m, v in ((" count", "count(*)"), (" percentage", "100.0::double * count(*) / (select count(*) from o)"))
+        ]
+        + [_cell("correlation_matrix", a, f"'{b}'", f"corr({a}, {b})") for a in RETAIL.numeric for b in RETAIL.numeric]
+        + [_cell("entity_behavior", "c_custkey", "'entities'", "count(*)", "b")]
+        + [_cell("entity_behavior", "c_custkey", f"'{m}'", f"sum({m})", "b") for m in BEHAVIOR]
+        + [
+            _cell(
+                "entity_behavior", "c_custkey", "'income_expense_ratio'",
+                "sum(monthly_income / nullif(monthly_expenses, 0))", "b",
+            ),
+            _cell("entity_conflicts", "c_custkey", "'entities'", "0", "(select 1)"),
+        ]
+    )
 )
 
 
 @query("profile_overview", OVERVIEW_SQL)
 def profile_overview(spark, folder):
-    """The stored report, flattened: one row per section, column and metric."""
+    """The stored report, flattened: every section, column and measure, but for two that other queries prove:
+    the approximate median (``numeric_moments_approx``) and the listed sample (``risk_patterns``)."""
     cleaned = stage(cleaning.preprocess(raw_transactions(spark, folder), RETAIL), "cleaned")
     path = fresh_path(spark, "report")
     built = profiling.profile_report(cleaned, RETAIL, digits=6)
     save_report(built, path)
     report = load_report(spark, path, built)
 
-    def rows(section, column, metric, value):
-        return report[section].select(
-            F.lit(section).alias("section"),
-            column.alias("column"),
-            metric.alias("metric"),
-            value.cast("double").alias("value"),
-        )
+    def cells(section, metrics, column=F.col("column"), prefix=None):
+        listed = F.array(*[F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value")) for m, v in metrics.items()])
+        flat = report[section].select(column.alias("column"), *([prefix.alias("p")] if prefix is not None else []), F.inline(listed))
+        metric = F.concat("p", F.lit(" "), F.col("metric")) if prefix is not None else F.col("metric")
+        return flat.select(F.lit(section).alias("section"), "column", metric.alias("metric"), F.round("value", 3).alias("value"))
+
+    def columns(*names):
+        return {n: F.col(n) for n in names}
 
-    measured = ["o_orderstatus", "o_orderpriority", "o_totalprice", "c_acctbal", "c_mktsegment"]
-    column = F.col("column")
+    key = F.lit(RETAIL.entity)
+    behavior = {m: F.sum(m).alias(m) for m in METRICS} | {"entities": F.count(F.lit(1)).alias("entities")}
+    report["entity_behavior"] = report["entity_behavior"].agg(*behavior.values())
+    report["entity_conflicts"] = report["entity_conflicts"].agg(F.count(F.lit(1)).alias("entities"))
     parts = [
-        rows("missing_counts", column, F.lit("missing"), F.col("missing")).filter(column.isin(*measured)),
-        *[rows("numeric_summary", column, F.lit(m), F.col(m)) for m in ("count", "mean", "stddev")],
-        rows("category_frequency", column, F.coalesce("value", F.lit("NULL")), F.col("count")).filter(
-            column.isin("c_mktsegment", "o_orderpriority")
-        ),
-        rows("correlation_matrix", column, F.lit("o_totalprice"), F.col("o_totalprice")).filter(
-            column == "c_acctbal"
-        ),
-        report["entity_behavior"]
-        .agg(F.count(F.lit(1)).cast("double").alias("value"))
-        .select(
-            F.lit("entity_behavior").alias("section"),
-            F.lit("c_custkey").alias("column"),
-            F.lit("entities").alias("metric"),
-            "value",
-        ),
+        cells("missing_counts", columns("missing", "total")),
+        cells("numeric_summary", columns("count", "mean", "stddev", "min", "max")),
+        cells("numeric_moments", columns(*MOMENTS)),
+        cells("category_frequency", columns("count", "percentage"), prefix=F.coalesce("value", F.lit("NULL"))),
+        cells("correlation_matrix", columns(*RETAIL.numeric)),
+        cells("entity_behavior", columns(*behavior), key),
+        cells("entity_conflicts", columns("entities"), key),
     ]
     return reduce(DataFrame.unionByName, parts)
