@@ -51,7 +51,7 @@ def op8_minhash(spark, sf_dir):
 @query("op5_line_dedup")
 def op5_line_dedup(spark, sf_dir):
     docs = lines.numbered(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return lines.line_decisions(docs).select(
+    return lines.line_decisions(docs, lines.EDIT_RULES).select(
         "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed"
     )
 
