@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, decontaminate, lines, mixing, near, quality, sharding, tokens, warc
+from . import bpe, classifier, decontaminate, dialogs, lines, mixing, near, quality, ranked, secrets, sharding, tokens, warc
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
@@ -79,3 +79,18 @@ def op9_quality_classifier(spark, sf_dir):
 @query("op1_lm_scoring")
 def op1_lm_scoring(spark, sf_dir):
     return mixing.lm_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op11_lexical_search", ranked.ORACLE_SQL)
+def op11_lexical_search(spark, sf_dir):
+    return ranked.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_conversation_repair", dialogs.ORACLE_SQL)
+def op12_conversation_repair(spark, sf_dir):
+    return dialogs.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_secret_scan")
+def op13_secret_scan(spark, sf_dir):
+    return secrets.secret_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
