@@ -25,6 +25,10 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--sample-rows", type=int, default=SAMPLE_ROWS)
     parser.add_argument("--seed", type=int, default=42)
     parser.add_argument("--parallel-fits", type=int, default=8)
+    parser.add_argument(
+        "--partitions", type=int, required=True,
+        help="tasks of every fit, at least the cores of the cluster and about one per million entities; with the seed, it decides the models",
+    )
     chosen = parser.parse_args(arguments)
 
     spark = SparkSession.builder.appName("segmentry").getOrCreate()
@@ -32,6 +36,7 @@ def main(arguments: list[str] | None = None) -> None:
         ks=tuple(range(2, chosen.max_segments + 1)),
         rule=ShareRule(chosen.min_share, chosen.max_share, chosen.min_silhouette),
         seed=chosen.seed,
+        partitions=chosen.partitions,
         parallelism=chosen.parallel_fits,
     )
     try:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import partial
 from multiprocessing.pool import ThreadPool
@@ -19,8 +19,9 @@ from ..functions.expressions import as_column
 from ..spec import ShareRule
 from .cleaning import fill_missing
 from .quantiles import group_medians
+from .scoring import sweep_scores
 
-# Tasks of every KMeans iteration and forest level; a cluster with many rows sets SweepOptions.partitions.
+# Tasks of every KMeans iteration and forest level, meant for up to a million rows each; the command line asks for a number.
 PARTITIONS = 8
 
 SWEEP_SCHEMA = "k int, segments int, silhouette double, min_share double, max_share double, accepted boolean"
@@ -96,38 +97,44 @@ def share_rule(shares: DataFrame, rule: ShareRule, silhouette: float | None = No
     return ends.withColumn("accepted", F.lit(True) & rule.accepts(F.col("min_share"), F.col("max_share"), silhouette))
 
 
+def assign_all(df: DataFrame, models: Mapping[int, KMeansModel]) -> tuple[DataFrame, dict[int, str]]:
+    """Adds each model's segments as a column of its own, in one projection, and names the columns."""
+    columns = {k: f"__segment_{k}" for k in models}
+    for k, model in models.items():
+        df = model.copy().setPredictionCol(columns[k]).transform(df)
+    return df, columns
+
+
 def k_sweep(scaled: DataFrame, options: SweepOptions = SweepOptions()) -> list[dict]:
     """Fit and score every number of segments; one entry each, accepted or not.
 
     An entry keeps its fitted model (the centres only), so the chosen one needs
     no second fit. ``scaled`` should be cached, since every fit iterates over it.
     The fits are distributed jobs; a few of them share the cluster at a time, like
-    the candidates of a cross validation.
+    the candidates of a cross validation. All of them are scored together, in two scans.
     """
 
-    def score(k: int) -> dict:
-        model = fit_kmeans(scaled, k, options.seed)
-        predictions = model.transform(scaled).select("prediction", "features")
-        sizes = [r["count"] for r in predictions.groupBy("prediction").count().collect()]
-        total = sum(sizes)
-        value = silhouette(predictions) if len(sizes) > 1 else None
-        smallest, largest = min(sizes) / total, max(sizes) / total
-        return {
-            "k": k,
-            "segments": len(sizes),
-            "silhouette": value,
-            "min_share": smallest,
-            "max_share": largest,
-            "accepted": value is not None and bool(options.rule.accepts(smallest, largest, value)),
-            "model": model,
-        }
+    def fit(k: int) -> KMeansModel:
+        return fit_kmeans(scaled, k, options.seed)
 
     if options.parallelism <= 1:
-        return [score(k) for k in options.ks]
-    with ThreadPool(min(options.parallelism, len(options.ks))) as pool:
-        # Wrapped one by one: each fit needs its own copy of the thread's job properties.
-        fits = [inheritable_thread_target(scaled.sparkSession)(partial(score, k)) for k in options.ks]
-        return pool.map(lambda fit: fit(), fits, chunksize=1)
+        models = [fit(k) for k in options.ks]
+    else:
+        with ThreadPool(min(options.parallelism, len(options.ks))) as pool:
+            # Wrapped one by one: each fit needs its own copy of the thread's job properties.
+            fits = [inheritable_thread_target(scaled.sparkSession)(partial(fit, k)) for k in options.ks]
+            models = pool.map(lambda run: run(), fits, chunksize=1)
+    by_k = dict(zip(options.ks, models))
+    scores = sweep_scores(*assign_all(scaled.select("features"), by_k))
+    return [
+        entry
+        | {
+            "accepted": entry["silhouette"] is not None
+            and bool(options.rule.accepts(entry["min_share"], entry["max_share"], entry["silhouette"])),
+            "model": by_k[entry["k"]],
+        }
+        for entry in scores
+    ]
 
 
 def best_k(sweep: Sequence[dict], rule: ShareRule | None = None) -> dict:

@@ -8,17 +8,15 @@ made in Spark comes out right.
 
 from __future__ import annotations
 
-from functools import partial, reduce
-from multiprocessing.pool import ThreadPool
+from functools import reduce
 
-from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import ranking, segmentation
+from ..operators import ranking, scoring, segmentation
 from ..operators.features import feature_names, fitted_dummies, model_features
 from ..operators.segmentation import SweepOptions
 from ..sources.staging import fresh_path, stage
@@ -287,42 +285,78 @@ def k_sweep(spark, folder):
     vectors = scaled.select("features").cache()
     try:
         sweep = segmentation.k_sweep(vectors)
-        with ThreadPool(8) as pool:
-            checks = [inheritable_thread_target(spark)(partial(_entry_checks, e, vectors)) for e in sweep]
-            rows = [(e["k"], *right) for e, right in zip(sweep, pool.map(lambda check: check(), checks, chunksize=1))]
+        rows = _sweep_checks(sweep, vectors)
     finally:
         vectors.unpersist()
     return spark.createDataFrame(rows, "k int, silhouette_right boolean, shares_right boolean, accepted_right boolean")
 
 
-def _entry_checks(entry, vectors):
-    """Whether silhouette, shares and verdict of a sweep entry follow from sums per segment."""
+def _sweep_checks(sweep, vectors):
+    """Whether silhouette, shares and verdict of each entry follow from sums per segment, as column expressions."""
     z = vector_to_array("features")
-    points = entry["model"].transform(vectors).select("prediction", z[0].alias("x"), z[1].alias("y"))
-    sums = points.groupBy("prediction").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"),
-        F.sum(F.col("x") * F.col("x") + F.col("y") * F.col("y")).alias("psi"),
-    ).collect()  # one row per segment
+    assigned, columns = segmentation.assign_all(vectors, {e["k"]: e["model"] for e in sweep})
+    listed = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("own")) for k, c in columns.items()])
+    points = assigned.select(z[0].alias("x"), z[1].alias("y"), F.inline(listed))
+    square = F.col("x") * F.col("x") + F.col("y") * F.col("y")
+    sums = points.groupBy("k", "own").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(square).alias("psi")
+    )
+    sums = stage(sums.groupBy("k").agg(F.collect_list(F.struct("own", "n", "sx", "sy", "psi")).alias("segments")), "sums")
 
     def distance(s):
-        own = F.col("x") * F.col("x") + F.col("y") * F.col("y")
-        return own + s["psi"] / s["n"] - 2 * (F.col("x") * s["sx"] + F.col("y") * s["sy"]) / s["n"]
+        return square + s["psi"] / s["n"] - 2 * (F.col("x") * s["sx"] + F.col("y") * s["sy"]) / s["n"]
+
+    placed = points.join(F.broadcast(sums), "k").withColumn("mine", F.filter("segments", lambda s: s["own"] == F.col("own"))[0])
+    others = F.filter("segments", lambda s: s["own"] != F.col("own"))
+    n = F.col("mine")["n"]
+    measured = placed.select(
+        "k", n.alias("n"), (distance(F.col("mine")) * n / F.greatest(n - 1, F.lit(1))).alias("inside"),
+        F.array_min(F.transform(others, distance)).alias("nearest"),
+    )
+    value = F.when(F.col("n") == 1, 0.0).otherwise(F.try_divide(F.col("nearest") - F.col("inside"), F.greatest("nearest", "inside")))
+    means = {r["k"]: r["mean"] for r in measured.groupBy("k").agg(F.avg(value).alias("mean")).collect()}
+    sizes = {r["k"]: [s["n"] for s in r["segments"]] for r in sums.collect()}  # one row per k
+    rows = []
+    for e in sweep:
+        counts = sizes[e["k"]]
+        smallest, largest = min(counts) / sum(counts), max(counts) / sum(counts)
+        rows.append(
+            (
+                e["k"], abs(means[e["k"]] - e["silhouette"]) < 1e-6,
+                e["segments"] == len(counts) and (smallest, largest) == (e["min_share"], e["max_share"]),
+                e["accepted"] == (smallest >= 0.01 and largest <= 0.45),
+            )
+        )
+    return rows
+
 
-    inside = F.coalesce(
-        *[F.when(F.col("prediction") == s["prediction"], distance(s) * s["n"] / max(s["n"] - 1, 1)) for s in sums]
+# Given segments of the customers, by number of segments, as expressions that Spark and SQL read alike.
+GIVEN = {2: "c_nationkey % 2", 3: "c_custkey % 3", 5: "c_nationkey div 5", 7: "c_custkey % 7", 25: "c_nationkey"}
+
+
+@query(
+    "sweep_scores",
+    "with "
+    + ", ".join(
+        _closed_form(f"s{k}", g.replace("div", "//"), ["c_acctbal / 1000", "c_nationkey::double"]) for k, g in GIVEN.items()
     )
-    outside = [F.when(F.col("prediction") != s["prediction"], distance(s)) for s in sums]
-    single = [s["prediction"] for s in sums if s["n"] == 1]
-    nearest = F.least(*outside) if len(outside) > 1 else outside[0]
-    value = F.when(F.col("prediction").isin(single), 0.0).otherwise((nearest - inside) / F.greatest(nearest, inside))
-    silhouette = points.agg(F.avg(value)).first()[0]
-    total = sum(s["n"] for s in sums)
-    smallest, largest = min(s["n"] for s in sums) / total, max(s["n"] for s in sums) / total
-    return (
-        abs(silhouette - entry["silhouette"]) < 1e-6,
-        entry["segments"] == len(sums) and (smallest, largest) == (entry["min_share"], entry["max_share"]),
-        entry["accepted"] == (smallest >= 0.01 and largest <= 0.45),
+    + " "
+    + " union all ".join(
+        f"""select {k} as k, count(*)::int as segments, round(any_value(silhouette), 6) as silhouette,
+        round(min(n) / sum(n), 6) as min_share, round(max(n) / sum(n), 6) as max_share from s{k}, s{k}_c"""
+        for k in GIVEN
+    ),
+)
+def sweep_scores(spark, folder):
+    """All given segmentations scored from two scans."""
+    customers = table(spark, folder, "customer").select(
+        (F.col("c_acctbal") / 1000).alias("balance"), F.col("c_nationkey").cast("double").alias("nation"),
+        *[F.expr(g).alias(f"g{k}") for k, g in GIVEN.items()],
     )
+    vectors = VectorAssembler(inputCols=["balance", "nation"], outputCol="features").transform(customers)
+    scores = scoring.sweep_scores(vectors, {k: f"g{k}" for k in GIVEN})
+    rows = [(s["k"], s["segments"], round(s["silhouette"], 6), round(s["min_share"], 6), round(s["max_share"], 6)) for s in scores]
+    return spark.createDataFrame(rows, "k int, segments int, silhouette double, min_share double, max_share double")
 
 
 def _labelled(spark, folder):
@@ -409,7 +443,7 @@ def customer_ranking(spark, folder):
     """Customer features, their segments, the forest's ranking of the features, and the refit on the best seven."""
     numeric, categorical = feature_names(RETAIL)
     features = customer_features(spark, folder)
-    options = SweepOptions(ks=(3, 4, 5), rule=ShareRule(0.0, 1.0))
+    options = SweepOptions(ks=tuple(range(2, 9)))
     first = segmentation.segment(features, [*numeric, *categorical], "c_custkey", options)
     labelled = stage(first.predictions.drop("numeric_features", "features"), "predictions")
     labelled = labelled.withColumnRenamed("prediction", "cluster")
@@ -423,3 +457,29 @@ def customer_ranking(spark, folder):
         F.countDistinct("c_custkey").alias("entities"), F.lit(len(best)).cast("long").alias("features"),
         F.lit(right).alias("ranks_right"),
     )
+
+
+@query(
+    "imposed_ranking",
+    """with f as (select o_custkey, avg(o_totalprice) as amount, count(*) as orders from orders group by o_custkey)
+    select count(*)::bigint as entities, median(amount) is not null as fitted,
+      ['avg_transaction_amount', 'transaction_count'] as leading, true as falling, 1.0::double as total from f""",
+)
+def imposed_ranking(spark, folder):
+    """All customer features, numeric and categorical, under a label imposed by two of them: these must lead the ranking,
+    although others (the largest amount, the cash orders) go along with them."""
+    numeric, categorical = feature_names(RETAIL)
+    features = customer_features(spark, folder)
+    imposing = ["avg_transaction_amount", "transaction_count"]
+    middle = features.agg(*[F.median(c).alias(c) for c in imposing]).first()
+    above = [(F.col(c) > middle[c]).cast("double") for c in imposing]
+    labelled = features.withColumn("cluster", 2 * above[0] + above[1])
+    rows = ranking.rank_features(labelled, "cluster", numeric, categorical, "c_custkey").table.orderBy("rank").collect()
+    values = [r["importance"] for r in rows]  # one row per feature
+    return features.agg(
+        F.countDistinct("c_custkey").alias("entities"),
+        F.lit(middle[imposing[0]] is not None).alias("fitted"),
+        F.array(*[F.lit(f) for f in sorted(r["feature"] for r in rows[:2])]).alias("leading"),
+        F.lit(values == sorted(values, reverse=True) and len(rows) == len(numeric) + len(categorical)).alias("falling"),
+        F.lit(round(sum(values), 9)).alias("total"),
+    )
