@@ -47,24 +47,26 @@ def clean_columns(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     )
 
 
-def label_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def label_counts(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:
     """``(column, value, rows)`` of every label of every given column, in one scan.
 
     Labels are counted per input partition before the shuffle, so a label that
-    holds most of the rows costs one row per partition. NULL is listed too.
+    holds most of the rows costs one row per partition. NULL is listed too. With ``weight``, a row of ``df``
+    stands for as many rows as that column says.
     """
-    cells = df.select(*[as_column(c).cast("string").alias(c) for c in columns]).unpivot(
-        [], [quoted(c) for c in columns], "column", "value"
+    kept = [] if weight is None else [as_column(weight).alias("__weight")]
+    cells = df.select(*kept, *[as_column(c).cast("string").alias(c) for c in columns]).unpivot(
+        ["__weight"] if kept else [], [quoted(c) for c in columns], "column", "value"
     )
-    return cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
+    return cells.groupBy("column", "value").agg((F.sum("__weight") if kept else F.count(F.lit(1))).alias("rows"))
 
 
-def label_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def label_shares(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:
     """``(column, value, rows, share)``; the NULL label counts in the total.
 
     The totals have one row per column of the table and are safe to broadcast.
     """
-    counts = label_counts(df, columns)
+    counts = label_counts(df, columns, weight)
     totals = counts.groupBy("column").agg(F.sum("rows").alias("total"))
     return counts.join(F.broadcast(totals), "column").select(
         "column", "value", "rows", (F.col("rows") / F.col("total")).alias("share")
@@ -83,13 +85,15 @@ class RareLabels:
     other: str = "Other"
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: Sequence[str], min_share: float = 0.05, other: str = "Other") -> RareLabels:
+    def fit(
+        cls, df: DataFrame, columns: Sequence[str], min_share: float = 0.05, other: str = "Other", weight: str | None = None
+    ) -> RareLabels:
         if not 0.0 < min_share <= 1.0:
             raise ValueError(f"min_share must be in (0, 1]: {min_share}")
         if not columns:
             return cls({}, other)
         frequent = (
-            label_shares(df, columns)
+            label_shares(df, columns, weight)
             .filter(F.col("value").isNotNull() & (F.col("share") >= F.lit(float(min_share))))
             .select("column", "value")
             .collect()

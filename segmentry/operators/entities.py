@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import as_column, indicator, indicator_median, ratio
 from ..sources.staging import stage
 from ..spec import METRICS, DatasetSpec
+from .cleaning import RareLabels
 from .joins import attach
 
 
@@ -110,7 +111,60 @@ def entity_table(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     Both the roll-up and its totals are stored in the shared folder: the
     transactions are read once, although the roll-up is used twice.
     """
-    rollup = stage(entity_rollup(df, spec), "entity-rollup")
+    return entities_of(entity_rollup(df, spec), spec)
+
+
+def entities_of(rollup: DataFrame, spec: DatasetSpec) -> DataFrame:
+    """The entity table of a roll-up."""
+    rollup = stage(rollup, "entity-rollup")
     totals = stage(rollup_totals(rollup, spec), "entity-totals")
     versions = rollup.select(*[as_column(c) for c in spec.entity_columns])
     return attach(versions, totals, spec.entity)
+
+
+def label_columns(spec: DatasetSpec) -> list[str]:
+    """The columns besides an entity's own whose labels the entity table depends on."""
+    return list(dict.fromkeys([*spec.event_dummies, *([] if spec.cash[0] in spec.entity_columns else [spec.cash[0]])]))
+
+
+def label_rollup(df: DataFrame, spec: DatasetSpec) -> DataFrame:
+    """Sums per entity version and event labels, from typed transactions whose rare labels are not collapsed yet.
+
+    Which labels are rare can change with every batch, so the labels stay keys; everything else adds up. Batches are
+    put together by ``merged_rollup``, and ``collapsed_rollup`` gives the roll-up of the collapsed transactions.
+    """
+    return df.groupBy(*[as_column(c) for c in (*spec.entity_columns, *label_columns(spec))]).agg(
+        F.count(F.lit(1)).alias("__events"),
+        F.sum(as_column(spec.amount)).alias("__amount"),
+        F.count(as_column(spec.amount)).alias("__amounts"),
+        F.max(as_column(spec.income)).alias("__income"),
+        F.max(as_column(spec.expenses)).alias("__expenses"),
+    )
+
+
+def merged_rollup(parts: DataFrame, spec: DatasetSpec) -> DataFrame:
+    """One ``label_rollup`` from those of several batches."""
+    keys = [*spec.entity_columns, *label_columns(spec)]
+    sums = [F.sum(c).alias(c) for c in ("__events", "__amount", "__amounts")]
+    return parts.groupBy(*[as_column(c) for c in keys]).agg(*sums, *[F.max(c).alias(c) for c in ("__income", "__expenses")])
+
+
+def collapsed_rollup(rollup: DataFrame, labels: RareLabels, spec: DatasetSpec) -> DataFrame:
+    """The ``entity_rollup`` of the transactions behind a ``label_rollup``, their rare labels collapsed."""
+    kept = RareLabels({c: v for c, v in labels.kept.items() if c in rollup.columns}, labels.other)
+    events = F.col("__events")
+    return kept.transform(rollup).groupBy(*[as_column(c) for c in spec.entity_columns]).agg(
+        F.sum("__events").alias("__events"),
+        F.sum("__amount").alias("__amount"),
+        F.sum("__amounts").alias("__amounts"),
+        F.sum(F.when(_is_cash(spec), events).otherwise(0)).alias("__cash"),
+        F.max("__income").alias("__income"),
+        F.max("__expenses").alias("__expenses"),
+        *[F.sum(flag * events).alias(f"__{name}") for name, flag in _event_indicators(spec)],
+    )
+
+
+def rollup_labels(rollup: DataFrame, spec: DatasetSpec) -> RareLabels:
+    """The frequent labels of the roll-up's columns: the same as from the transactions, since their numbers are kept."""
+    columns = [c for c in spec.collapsed if c in rollup.columns]
+    return RareLabels.fit(rollup, columns, spec.rare_share, spec.other_label, weight="__events")

@@ -7,7 +7,6 @@ to a single row of counters per partition before anything is shuffled.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,29 +115,66 @@ def numeric_moments(
     )
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int | None = None) -> DataFrame:
-    """Pearson correlations, one row per column, one column per column.
+# Columns whose sums with another column are one row's aggregates: few enough that Spark compiles them in one loop.
+BLOCK = 8
 
-    Each pair uses the rows where both cells are present. A pair with a constant
-    side is NULL.
-    """
-    at = {c: i for i, c in enumerate(columns)}
-    numbers = df.select(*[to_number(c).alias(f"x{at[c]}") for c in columns])
 
-    def correlation(a: str, b: str) -> Column:
-        x, y = F.col(f"x{at[a]}"), F.col(f"x{at[b]}")
-        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+def pair_sums(numbers: DataFrame, width: int) -> DataFrame:
+    """``at`` and ``pairs``: masked sums of column ``i`` with a block of columns, ``at`` = i * blocks + block.
 
-    pairs = [*combinations(columns, 2), *[(c, c) for c in columns]]
-    aggregates = [_rounded(correlation(a, b), digits).alias(f"r{at[a]}_{at[b]}") for a, b in pairs]
+    A pair has, over the rows where both cells are present, their number ``n``, the sums ``x`` and ``xx`` of column i's
+    values and squares, ``xy`` of the products, and column i's ends ``low`` and ``high``. Every row is listed once per column and
+    block and combined before the shuffle, which moves one row per task, column and block. The plan has the size of a
+    block, whatever the number of columns.
+    """
+    blocks = -(-width // BLOCK)
+    values = numbers.select(F.array(*[F.col(f"x{j}") for j in range(width)]).alias("v"))
+    placed = values.select("v", F.explode(F.sequence(F.lit(0), F.lit(width * blocks - 1))).alias("at"))
+    first = F.expr(f"(at % {blocks}) * {BLOCK}")
+    rows = placed.select(
+        "at", F.get("v", F.expr(f"at div {blocks}").cast("int")).alias("x"),
+        *[F.get("v", (first + k).cast("int")).alias(f"y{k}") for k in range(BLOCK)],
+    )
+    aggregates = []
+    for k in range(BLOCK):
+        x = F.when(F.col(f"y{k}").isNotNull(), F.col("x"))
+        product = F.col("x") * F.col(f"y{k}")
+        found = {"n": F.count(product), "x": F.sum(x), "xx": F.sum(x * x), "xy": F.sum(product), "low": F.min(x), "high": F.max(x)}
+        aggregates += [value.alias(f"{name}{k}") for name, value in found.items()]
+    sums = rows.groupBy("at").agg(*aggregates)
+    pairs = [F.struct(*[F.col(f"{name}{k}").alias(name) for name in ("n", "x", "xx", "xy", "low", "high")]) for k in range(BLOCK)]
+    return sums.select("at", F.array(*pairs).alias("pairs"))
 
-    def cell(a: str, b: str) -> Column:
-        i, j = sorted((at[a], at[b]))
-        return F.col(f"r{i}_{j}")
 
-    rows = [F.struct(F.lit(a).alias("column"), *[cell(a, b).alias(b) for b in columns]) for a in columns]
-    return numbers.agg(*aggregates).select(F.inline(F.array(*rows)))
+def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int | None = None) -> DataFrame:
+    """Pearson correlations, one row per column, one column per column.
+
+    Each pair uses the rows where both cells are present. A pair with a constant
+    side is NULL. Sums of squares are taken around the columns' means, which a first scan gives, so large values do
+    not cancel out.
+    """
+    width = len(columns)
+    blocks = -(-width // BLOCK)
+    numbers = df.select(*[to_number(c).alias(f"x{j}") for j, c in enumerate(columns)])
+    means = numbers.agg(*[F.avg(f"x{j}").alias(f"m{j}") for j in range(width)])  # one row
+    centred = numbers.join(F.broadcast(means)).select(*[(F.col(f"x{j}") - F.col(f"m{j}")).alias(f"x{j}") for j in range(width)])
+    sums = pair_sums(centred, width)
+    # One row: all sums in order of ``at``, of which there are as many as columns times blocks.
+    matrix = sums.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "pairs"))), lambda s: s["pairs"]).alias("m"))
+
+    def cell(i: Column, j: Column) -> Column:
+        return F.get(F.get("m", i * blocks + F.floor(j / BLOCK).cast("int")), j % BLOCK)
+
+    def correlation(a: Column, b: Column) -> Column:
+        spread = (a["n"] * a["xx"] - a["x"] * a["x"]) * (a["n"] * b["xx"] - b["x"] * b["x"])
+        value = F.try_divide(a["n"] * a["xy"] - a["x"] * b["x"], F.sqrt(F.greatest(spread, F.lit(0.0))))
+        varies = (a["low"] < a["high"]) & (b["low"] < b["high"])
+        return _rounded(F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))), digits)
+
+    named = matrix.select("m", F.posexplode(F.array(*[F.lit(c) for c in columns])).alias("i", "column"))
+    both = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.struct(cell(F.col("i"), j).alias("a"), cell(j, F.col("i")).alias("b")))
+    rows = named.select("column", F.transform(both, lambda p: correlation(p["a"], p["b"])).alias("r"))
+    return rows.select("column", *[F.get("r", F.lit(j)).alias(c) for j, c in enumerate(columns)])
 
 
 def report_sections(df: DataFrame, spec: DatasetSpec, digits: int = 2) -> dict[str, Callable[[], DataFrame]]:

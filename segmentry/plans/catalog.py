@@ -1,6 +1,13 @@
 """All registered queries; importing the modules registers them."""
 
-from . import catalog_cleaning, catalog_features, catalog_flow, catalog_profile, catalog_segments  # noqa: F401
+from . import (  # noqa: F401
+    catalog_cleaning,
+    catalog_features,
+    catalog_flow,
+    catalog_history,
+    catalog_profile,
+    catalog_segments,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, locations, profiling
+from ..operators import cleaning, locations, profiling, sketches
 from ..sources.staging import fresh_path, stage
 from ..sources.tables import load_report, save_report
 from ..spec import METRICS
@@ -279,3 +279,67 @@ def profile_overview(spark, folder):
         cells("entity_conflicts", columns("entities"), key),
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+# Columns of lines and their orders, some with gaps, as expressions that Spark and SQL read alike.
+WIDE = {
+    "quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax", "line": "l_linenumber",
+    "part": "l_partkey % 1000", "supplier": "l_suppkey", "total": "o_totalprice", "day": "o_orderkey % 365",
+    "net": "l_extendedprice * (1 - l_discount)", "charge": "l_extendedprice * (1 - l_discount) * (1 + l_tax)",
+    "unit": "l_extendedprice / l_quantity", "share": "l_extendedprice / o_totalprice",
+    "price_returned": "case when l_returnflag = 'R' then l_extendedprice end",
+    "price_kept": "case when l_returnflag <> 'R' then l_extendedprice end",
+    "discount_open": "case when l_linestatus = 'O' then l_discount end",
+    "tax_first": "case when l_linenumber = 1 then l_tax end",
+    "total_urgent": "case when o_orderpriority = '1-URGENT' then o_totalprice end",
+    "large": "1000000000 + l_extendedprice", "squared": "l_quantity * l_quantity",
+}
+
+
+@query(
+    "correlation_wide",
+    "with o as (select "
+    + ", ".join(f"({e})::double as {c}" for c, e in WIDE.items())
+    + " from lineitem join orders on l_orderkey = o_orderkey) "
+    + " union all ".join(
+        f"""select '{a}' as "column", """
+        + ", ".join(f"round(case when isfinite(corr({a}, {b})) then corr({a}, {b}) end, 6) as {b}" for b in WIDE)
+        + " from o"
+        for a in WIDE
+    ),
+)
+def correlation_wide(spark, folder):
+    """Twenty columns, gaps that leave pairs without a common row, and one with a large offset."""
+    lines = table(spark, folder, "lineitem").join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    numbers = lines.select(*[F.expr(e).cast("double").alias(c) for c, e in WIDE.items()])
+    return profiling.correlation_matrix(stage(numbers, "wide"), list(WIDE), digits=6)
+
+
+@query(
+    "merged_quantiles",
+    " union all ".join(
+        f"""select l_returnflag as "group", '{c}' as "column", count({c})::bigint as rows, unnest([0.1, 0.5, 0.9])::double as rank,
+        true as in_bound from lineitem group by l_returnflag"""
+        for c in ("l_quantity", "l_extendedprice")
+    ),
+)
+def merged_quantiles(spark, folder):
+    """Sketches of two halves of the lines, stored one after the other and merged; each value's exact rank must be in bound."""
+    lines, path, columns = table(spark, folder, "lineitem"), fresh_path(spark, "sketches"), ["l_quantity", "l_extendedprice"]
+    for half in (0, 1):
+        part = lines.filter(F.col("l_orderkey") % 2 == half)
+        sketches.quantile_sketches(part, columns, "l_returnflag").write.mode("append").parquet(path)
+    merged = sketches.merge_sketches(spark.read.parquet(path))
+    found = stage(sketches.sketch_quantiles(merged, [0.1, 0.5, 0.9]), "quantiles")
+    cells = lines.select(
+        F.col("l_returnflag").alias("group"),
+        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("x")) for c in columns])),
+    )
+    # Three rows per group and column.
+    ranked = cells.join(F.broadcast(found), ["group", "column"]).groupBy("group", "column", "rows", "rank").agg(
+        F.count_if(F.col("x") < F.col("value")).alias("below"), F.count_if(F.col("x") <= F.col("value")).alias("upto")
+    )
+    slack = F.col("rows") * sketches.RANK_ERROR + 1
+    wanted = F.col("rank") * F.col("rows")
+    bound = (F.col("below") <= wanted + slack) & (F.col("upto") >= wanted - slack)
+    return ranked.select("group", "column", "rows", "rank", bound.alias("in_bound"))

@@ -17,8 +17,8 @@ RANKING_SCHEMA = T.StructType(
 )
 
 
-def scan_csv(spark: SparkSession, path: str, expected: T.StructType | None = None) -> DataFrame:
-    """All files of a CSV folder as one all-text table named by their header.
+def scan_csv(spark: SparkSession, path: str | list[str], expected: T.StructType | None = None) -> DataFrame:
+    """All files of a CSV folder, or the listed ones, as one all-text table named by their header.
 
     With ``expected``, missing and unknown columns are rejected up front, the
     columns come back in the expected order with their comments, and every
