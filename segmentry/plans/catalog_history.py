@@ -1,12 +1,18 @@
-"""Queries for incremental runs and for tables kept in buckets of the entity key."""
+"""Queries for incremental runs, bucketed and published tables, malformed files, and vocabularies of any size."""
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators import vocabulary
+from ..sources import tables
 from ..sources.buckets import join_bucketed, store_bucketed
+from ..sources.publish import publish, read_published
 from ..sources.staging import fresh_path, stage
 from .catalog_cleaning import CLEANED_SQL
 from .incremental import History
@@ -107,3 +113,77 @@ def entity_table_bucketed(spark, folder):
     return joined.groupBy("c_custkey").agg(
         F.count(F.lit(1)).alias("versions"), F.max("orders").alias("orders"), F.round(F.sum("c_acctbal"), 6).alias("balance")
     )
+
+
+@query(
+    "sparse_dummies",
+    """with cells as (
+      select 'p_brand' as "column", p_brand as value, p_partkey from part union all select 'p_name', p_name, p_partkey from part),
+    known as (
+      select "column", value, row_number() over (partition by "column" order by count(*) desc, value) - 1 as idx
+      from cells where p_partkey % 3 <> 0 group by "column", value),
+    sizes as (select "column", count(*) as n from known group by "column")
+    select c."column", coalesce(k.idx, n)::int as idx, count(*)::double as rows
+    from cells c join sizes s on s."column" = c."column" left join known k on k."column" = c."column" and k.value = c.value
+    group by c."column", coalesce(k.idx, n)""",
+)
+def sparse_dummies(spark, folder):
+    """Brands and names of all parts as sparse vectors, numbered on two thirds of them; the vectors' sums count each label."""
+    parts = table(spark, folder, "part").select("p_partkey", "p_brand", "p_name")
+    columns = ["p_brand", "p_name"]
+    known = vocabulary.label_vocabulary(parts.filter(F.col("p_partkey") % 3 != 0), columns)
+    _, vectors = vocabulary.sparse_dummies(parts, columns, known)
+    sums = vectors.agg(*[Summarizer.sum(F.col(f"{c}_vec")).alias(c) for c in columns])
+    listed = [
+        sums.select(F.lit(c).alias("column"), F.posexplode(vector_to_array(c)).alias("idx", "rows")).filter("rows > 0") for c in columns
+    ]
+    return listed[0].union(listed[1])
+
+
+@query(
+    "csv_quarantine",
+    """select 'rows' as kind, o_orderkey, o_custkey, o_orderstatus from (
+      select o_orderkey::varchar as o_orderkey, o_custkey::varchar as o_custkey, o_orderstatus from orders where o_orderkey % 11 > 1)
+    union all select 'short', o_orderkey::varchar, null, null from orders where o_orderkey % 11 = 0
+    union all select 'long', o_orderkey::varchar || ',' || o_custkey || ',' || o_orderstatus || ',x', null, null
+      from orders where o_orderkey % 11 = 1
+    union all select 'counted', count(*)::varchar, null, null from orders where o_orderkey % 11 < 2""",
+)
+def csv_quarantine(spark, folder):
+    """Orders as CSV with short and long lines among them: good rows, kept broken lines, and their number over all files."""
+    source = fresh_path(spark, "broken-csv")
+    key = F.col("o_orderkey").cast("string")
+    whole = F.concat_ws(",", key, F.col("o_custkey").cast("string"), "o_orderstatus")
+    line = F.when(F.col("o_orderkey") % 11 == 0, key).when(F.col("o_orderkey") % 11 == 1, F.concat(whole, F.lit(",x"))).otherwise(whole)
+    orders = table(spark, folder, "orders").select(line.alias("o_orderkey,o_custkey,o_orderstatus"))
+    # Written as one column without quotes, whose name is the header of three.
+    orders.write.option("header", True).option("sep", "\x01").option("quote", "").csv(source)
+    expected = T.StructType([T.StructField(c, T.StringType()) for c in ("o_orderkey", "o_custkey", "o_orderstatus")])
+    good, bad = tables.scan_csv_checked(spark, source, expected)
+    kept = fresh_path(spark, "quarantine")
+    counts = tables.quarantine(bad, kept)
+    none = F.lit(None).cast("string")
+    kind = F.when(F.col("line").endswith(",x"), "long").otherwise("short")
+    broken = spark.read.parquet(kept).select(kind.alias("kind"), F.col("line").alias("o_orderkey"), none.alias("o_custkey"), none.alias("o_orderstatus"))
+    total = counts.agg(F.sum("lines").cast("string").alias("o_orderkey"))
+    total = total.select(F.lit("counted").alias("kind"), "o_orderkey", none.alias("o_custkey"), none.alias("o_orderstatus"))
+    return good.select(F.lit("rows").alias("kind"), "*").unionByName(broken).unionByName(total)
+
+
+@query(
+    "published_versions",
+    """select 2::bigint as version, n_nationkey, n_name from nation where n_nationkey % 2 = 0""",
+)
+def published_versions(spark, folder):
+    """A table published twice; a third write breaks off, and the second version is still what readers get."""
+    path = fresh_path(spark, "published")
+    nations = table(spark, folder, "nation").select("n_nationkey", "n_name")
+    publish(nations.select(F.lit(1).cast("long").alias("version"), "*"), path)
+    publish(nations.filter("n_nationkey % 2 = 0").select(F.lit(2).cast("long").alias("version"), "*"), path)
+    fails = F.when(F.col("n_nationkey") >= 0, F.raise_error(F.lit("broken off"))).otherwise(3).cast("long")
+    try:
+        publish(nations.select(fails.alias("version"), "*"), path)
+    except Exception as error:
+        if "broken off" not in str(error):
+            raise
+    return read_published(spark, path)

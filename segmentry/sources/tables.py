@@ -6,8 +6,11 @@ import hashlib
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .staging import stage
+
 RANKING_SCHEMA = T.StructType(
     [
         T.StructField("feature", T.StringType(), False),
@@ -37,6 +40,30 @@ def scan_csv(spark: SparkSession, path: str | list[str], expected: T.StructType
     return table.select(*expected.fieldNames())
 
 
+CORRUPT = "_corrupt"
+
+
+def scan_csv_checked(spark: SparkSession, path: str | list[str], expected: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """The well-formed rows, and ``file, line`` of those that have too many or too few cells.
+
+    ``scan_csv`` fills up or cuts such lines, which moves later cells into wrong columns unseen. Headers are
+    checked as there. The files are parsed once, into the shared folder; a line is in exactly one of the two tables.
+    """
+    in_file_order = scan_csv(spark, path, expected)  # checks the header
+    found = spark.read.option("header", True).csv(path).columns
+    schema = T.StructType([*[expected[c] for c in found], T.StructField(CORRUPT, T.StringType())])
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
+    rows = stage(rows.select("*", F.col("_metadata.file_path").alias("file")), "parsed-csv")
+    good = rows.filter(F.col(CORRUPT).isNull()).select(*in_file_order.columns)
+    return good, rows.filter(F.col(CORRUPT).isNotNull()).select("file", F.col(CORRUPT).alias("line"))
+
+
+def quarantine(bad: DataFrame, path: str) -> DataFrame:
+    """Keep the malformed lines at ``path`` and return their number per file."""
+    return write_parquet(bad, path).groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
