@@ -42,11 +42,23 @@ def bounded(table: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
+def central_heads(members: DataFrame) -> DataFrame:
+    """``key``, ``head``: of each bucket the member that shares the most buckets with others, and of these the smallest id.
+
+    ``members`` is a table of ``id``, ``key`` and ``n``, the bucket's size. A text in the middle of a group of variants
+    falls into more of their buckets than a variant at its edge.
+    """
+    centres = members.groupBy("id").agg(F.sum("n").alias("centre"))
+    placed = members.join(centres, "id")
+    return placed.groupBy("key").agg(F.max_by("id", F.struct("centre", -F.col("id"))).alias("head"))
+
+
 def linked_components(
     buckets: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     describe: Callable[[DataFrame], DataFrame] | None = None,
     possible: Callable[[str, str], Column] | None = None,
+    cross: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Components of all verified pairs that share a bucket, without trying all pairs of a bucket.
 
@@ -58,26 +70,37 @@ def linked_components(
     ``describe`` adds columns to a table of the ids that are still open, and may drop ids without any link.
     ``possible`` (given the prefixes of the two sides' columns, ``key`` among them) is false only for pairs that
     ``verify`` would drop or that another shared bucket makes; they are never made.
+    With ``cross``, members are tried against the bucket's most central one instead, and ``cross`` makes the pairs that are
+    still to be tried: given the open ``id``, ``key`` and ``component``, all ``a`` < ``b`` of different components that
+    can be linked.
     """
-    ends = buckets.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).filter("head < tail")
-    members = stage(buckets.join(ends.select("key", "head"), "key"), "bucket-members")
-    spokes = members.filter("id > head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    if cross:
+        sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        sized = stage(buckets.join(sizes, "key"), "bucket-sizes")
+        members = stage(sized.drop("n").join(central_heads(sized), "key"), "bucket-members")
+    else:
+        ends = buckets.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).filter("head < tail")
+        members = stage(buckets.join(ends.select("key", "head"), "key"), "bucket-members")
+    spokes = members.filter("id <> head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()
     linked = stage(verify(spokes), "links-to-heads")
     grouped = components(linked)
     # Heads were tried against all members, so a bucket matters only if the others lie in several components.
-    placed = members.filter("id > head").join(grouped, "id", "left")
+    placed = members.filter("id <> head").join(grouped, "id", "left")
     placed = placed.select("key", "id", F.coalesce("component", "id").alias("component")).distinct()
     mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     open_rows = stage(placed.join(mixed.filter("least < most").select("key"), "key"), "open-buckets")
-    if describe:
-        described = stage(describe(open_rows.select("id").distinct()), "open-ids")
-        open_rows = open_rows.join(described, "id")
-    left, right = (open_rows.select(*[F.col(c).alias(side + c) for c in open_rows.columns]) for side in ("a_", "b_"))
-    differ = (F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component"))
-    if possible:
-        differ = differ & possible("a_", "b_")
-    crossing = left.join(right, (F.col("a_key") == F.col("b_key")) & differ)
-    crossing = crossing.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    if cross:
+        crossing = cross(open_rows)
+    else:
+        if describe:
+            described = stage(describe(open_rows.select("id").distinct()), "open-ids")
+            open_rows = open_rows.join(described, "id")
+        left, right = (open_rows.select(*[F.col(c).alias(side + c) for c in open_rows.columns]) for side in ("a_", "b_"))
+        differ = (F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component"))
+        if possible:
+            differ = differ & possible("a_", "b_")
+        crossing = left.join(right, (F.col("a_key") == F.col("b_key")) & differ)
+        crossing = crossing.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
     more = stage(verify(crossing), "links-across")
     if not more.limit(1).count():
         return grouped

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -184,9 +184,8 @@ def verified(pairs: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def shingle_counts(texts: DataFrame, rules: NearRules) -> DataFrame:
-    """``id``, the number and weight of its distinct shingles (``size``, ``weight``) and of those that another of the
-    texts has too (``shared``, ``shared_weight``)."""
+def shingled(texts: DataFrame, rules: NearRules) -> DataFrame:
+    """``id``, ``shingle`` and its weight ``w``, one row per distinct shingle of each text."""
     fields = [T.StructField("shingle", T.LongType()), T.StructField("w", T.LongType())]
     schema = T.StructType([texts.schema["id"], *fields])
 
@@ -197,18 +196,7 @@ def shingle_counts(texts: DataFrame, rules: NearRules) -> DataFrame:
                 columns = [part.column(0).take(pa.array(owner)), pa.array(shingle.astype(np.int64)), pa.array(weight)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-    found = texts.select("id", "text").mapInArrow(run, schema)
-    # A shingle met once belongs to the only id of its group, so the rare ones are counted without a join.
-    met = found.groupBy("shingle").agg(F.min("id").alias("id"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
-    alone = met.filter("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"), F.sum("w").alias("alone_weight"))
-    sizes = found.groupBy("id").agg(F.count(F.lit(1)).alias("size"), F.sum("w").alias("weight"))
-    return sizes.join(alone, "id", "left").select(
-        "id",
-        "size",
-        "weight",
-        (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"),
-        (F.col("weight") - F.coalesce("alone_weight", F.lit(0))).alias("shared_weight"),
-    )
+    return texts.select("id", "text").mapInArrow(run, schema)
 
 
 def can_be_similar(a: str, b: str, similarity: float) -> Column:
@@ -223,11 +211,47 @@ def can_be_similar(a: str, b: str, similarity: float) -> Column:
     return plain | (repeats & weighted[0] & weighted[1])
 
 
-def open_texts(texts: DataFrame, bands: DataFrame, rules: NearRules) -> DataFrame:
-    """Counts and band keys of the texts, without those of which more than a fifth is found nowhere else."""
-    counts = shingle_counts(texts, rules)
+def crossing_pairs(open_rows: DataFrame, texts: DataFrame, bands: DataFrame, rules: NearRules) -> DataFrame:
+    """The pairs ``a`` < ``b`` of open texts in different components that share a band and can be similar.
+
+    A prefix filter, which loses no pair: each text's shingles are ordered from the rarest among the open texts to the most
+    frequent. Behind the first shingle that two similar texts share, both must still hold enough for the similarity, so
+    it stands in the first fifth of both. Texts that have only a template in common share no rare shingle and never meet.
+    """
+    ids = stage(open_rows.select("id", "component").distinct(), "open-ids")
+    found = stage(shingled(texts.join(ids.select("id"), "id"), rules), "open-shingles")
+    met = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = stage(found.join(met, "shingle"), "open-shared")
+    sizes = found.groupBy("id").agg(F.count(F.lit(1)).alias("size"), F.sum("w").alias("weight"))
+    counts = shared.groupBy("id").agg(F.count(F.lit(1)).alias("shared"), F.sum("w").alias("shared_weight"))
+    counts = sizes.join(counts, "id").join(ids, "id")
     enough = F.greatest(F.col("shared") / F.col("size"), F.col("shared_weight") / F.col("weight"))
-    return counts.filter(enough >= rules.similarity - 1e-9).join(bands, "id")
+    counts = stage(counts.filter(enough >= rules.similarity - 1e-9), "open-counts")
+
+    rarest = Window.partitionBy("id").orderBy("n", "shingle")
+    before = rarest.rowsBetween(Window.unboundedPreceding, -1)
+    lost = F.col("weight") - F.col("shared_weight") + F.coalesce(F.sum("w").over(before), F.lit(0))
+    # Shingles that no other open text has come first of all; they are counted and need no row.
+    at = F.col("size") - F.col("shared") + F.row_number().over(rarest) - 1
+    placed = shared.join(counts, "id").withColumns({"at": at, "lost": lost})
+    spare = 1 - rules.similarity
+    prefix = (F.col("at") <= spare * F.col("size") + 1e-6) | (F.col("lost") <= spare * F.col("weight") + 1e-6)
+    kept = "id component shingle at lost size weight shared shared_weight".split()
+    prefixes = stage(placed.filter(prefix).select(*kept), "open-prefixes")
+    left, right = (prefixes.select(*[F.col(c).alias(side + c) for c in kept]) for side in ("a_", "b_"))
+    differ = (F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component"))
+    share = rules.similarity / (1 + rules.similarity)
+    rest = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
+    plain = rest >= share * (F.col("a_size") + F.col("b_size")) - 1e-6
+    repeats = (F.col("a_weight") > F.col("a_size")) | (F.col("b_weight") > F.col("b_size"))
+    weighted = [F.col(x + "lost") <= spare * F.col(x + "weight") + 1e-6 for x in ("a_", "b_")]
+    ahead = plain | (repeats & weighted[0] & weighted[1])
+    same = F.col("a_shingle") == F.col("b_shingle")
+    pairs = left.join(right, same & differ & ahead & can_be_similar("a_", "b_", rules.similarity))
+    pairs = pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(bands.select(F.col("id").alias(side), F.col("bands").alias(f"{side}_bands")), side)
+    return pairs.filter(F.arrays_overlap("a_bands", "b_bands")).select("a", "b")
 
 
 def near_duplicates(
@@ -274,9 +298,7 @@ def near_duplicates(
     grouped = linked_components(
         buckets,
         lambda pairs: verified(pairs, texts, rules),
-        lambda ids: open_texts(texts.join(ids, "id"), distinct.select("id", "bands"), rules),
-        lambda a, b: can_be_similar(a, b, rules.similarity)
-        & (F.array_min(F.array_intersect(F.col(a + "bands"), F.col(b + "bands"))) == F.col(a + "key")),
+        cross=lambda open_rows: crossing_pairs(open_rows, texts, distinct, rules),
     )
     placed = distinct.join(grouped, "id", "left").select(
         "words", "first", "copies", F.coalesce("component", "id").alias("component")

@@ -285,3 +285,27 @@ def test_leaks_of_odd_rows(spark):
 @pytest.mark.parametrize("name", ["op4_decontamination", "op5_line_dedup", "op8_minhash"])
 def test_queries_give_rows(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
+
+
+def test_texts_of_one_template_make_few_pairs_and_lose_none(spark):
+    """Half of each text is a template that all share; some texts are variants of another one, or of the template."""
+    state = random.Random(6)
+    template = [f"t{i}" for i in range(60)]
+    texts = []
+    for i in range(300):
+        words = template + [f"w{i}x{j}" for j in range(state.randint(30, 70))]
+        texts.append(words)
+        if i % 6 == 0:
+            texts.append([w if state.random() > 0.01 else "changed" for w in words])
+    for _ in range(60):
+        cut = state.randint(0, 50)
+        texts.append(template[:cut] + [f"v{state.random()}"] + template[cut + 1 :])
+    rules = near.NearRules(words=2)
+    sets = [{tuple(t[k : k + 2]) for k in range(len(t) - 1)} for t in texts]
+    wanted = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+    open_rows = spark.createDataFrame([(i, 1, i) for i in range(len(texts))], "id long, key long, component long")
+    bands = spark.createDataFrame([(i, [1]) for i in range(len(texts))], "id long, bands array<long>")
+    made = {(r.a, r.b) for r in near.crossing_pairs(open_rows, table, bands, rules).collect()}
+    assert len(wanted) > 500 and wanted <= made
+    assert len(made) < len(wanted) + len(texts)
