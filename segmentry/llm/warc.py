@@ -122,13 +122,19 @@ def _sql(text: str) -> str:
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
-    """The texts between magics, read in splits, in file order by ``file``, ``block`` and ``seq``."""
+    """The texts between magics, read in splits, in file order by ``file``, ``block`` and ``seq``.
+
+    These three follow from how the files are split, which executors and settings decide anew for every scan. ``h1`` and
+    ``h2`` follow from a text alone.
+    """
     raw = spark.read.option("lineSep", MAGIC).text(path)
     return raw.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
         F.col("_metadata.file_size").alias("file_size"),
+        F.xxhash64("value").alias("h1"),
+        F.xxhash64(F.lit("second key"), "value").alias("h2"),
         "value",
     )
 
@@ -225,7 +231,11 @@ RECORD = "record_type page_id refers_to stated_digest stated_bytes read_bytes re
 
 
 def spread_records(found: DataFrame, records: DataFrame, raw: DataFrame) -> DataFrame:
-    """The records whose payload holds magics, put together from their segments and parsed."""
+    """The records whose payload holds magics, put together from their segments and parsed.
+
+    The files are read again for the texts of these segments only. They are found by their 128-bit keys, not by their
+    place, since the second scan may be split in another way. A text that is not found again is an error.
+    """
     torn = records.filter("not whole").select("file", "at", "next")
     # The last record begun at or before a segment owns it: known inside a block, else from the blocks before.
     begun = found.join(records.select("file", "at", F.col("at").alias("own")), ["file", "at"], "left")
@@ -234,11 +244,15 @@ def spread_records(found: DataFrame, records: DataFrame, raw: DataFrame) -> Data
     carried = lasts.select("file", "block", F.max("last").over(before).alias("carry"))
     inside = Window.partitionBy("file", "block").orderBy("at")
     owned = begun.join(carried, ["file", "block"]).select(
-        "file", "block", "seq", F.coalesce(F.max("own").over(inside), "carry").alias("owner")
+        "file", "block", "seq", "h1", "h2", F.coalesce(F.max("own").over(inside), "carry").alias("owner")
     )
-    wanted = owned.join(torn.select("file", F.col("at").alias("owner")), ["file", "owner"])
-    texts = raw.join(stage(wanted, "warc-torn"), ["file", "block", "seq"])
-    joined = texts.groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("block", "seq", "value"))).alias("p"))
+    wanted = stage(owned.join(torn.select("file", F.col("at").alias("owner")), ["file", "owner"]), "warc-torn")
+    found_again = raw.select("h1", "h2", "value").join(wanted.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
+    values = found_again.groupBy("h1", "h2").agg(F.first("value").alias("value"))
+    texts = wanted.join(values, ["h1", "h2"], "left")
+    lost = F.raise_error(F.lit("a part of a record was not found again"))
+    part = F.struct("block", "seq", F.coalesce("value", lost).alias("value"))
+    joined = texts.groupBy("file", "owner").agg(F.sort_array(F.collect_list(part)).alias("p"))
     value = F.array_join(F.transform("p", lambda x: x["value"]), MAGIC)
     return parsed(joined.select("file", "owner", value.alias("value")))
 

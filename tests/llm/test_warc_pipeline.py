@@ -66,6 +66,37 @@ def test_round_trip_in_splits_of_any_size(spark, split):
     assert Counter(tuple(r) for r in found) == expected(ROWS)
 
 
+def in_splits(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+
+
+@pytest.mark.parametrize("sizes", [("128m", "900", "2k"), ("700", "128m", "500")])
+def test_splits_may_change_between_the_scans(spark, sizes):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    path = fresh_path(spark, "warc-splits")
+    try:
+        in_splits(spark, sizes[0])
+        warc.write_archives(pages(spark, ROWS).coalesce(2), path)
+        in_splits(spark, sizes[1])
+        read = warc.read_archives(spark, path)
+        in_splits(spark, sizes[2])
+        found = read.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    assert Counter(tuple(r) for r in found) == expected(ROWS)
+
+
+def test_a_text_that_is_not_found_again_is_an_error(spark, monkeypatch):
+    path = fresh_path(spark, "warc-lost")
+    warc.write_archives(pages(spark, ROWS), path)
+    plain = warc.spread_records
+    monkeypatch.setattr(warc, "spread_records", lambda found, records, raw: plain(found, records, raw.filter("h1 % 2 = 0")))
+    with pytest.raises(Exception, match="not found again"):
+        warc.read_archives(spark, path).collect()
+
+
 def test_no_pages(spark):
     assert warc.archived_pages(pages(spark, [])).count() == 0
 
