@@ -6,6 +6,7 @@ projection instead of a chain that grows with the number of columns.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -73,6 +74,44 @@ def label_shares(df: DataFrame, columns: Sequence[str], weight: str | None = Non
     )
 
 
+# Labels that a frequent-items summary tracks per wanted one: its counts are then off by far less than the share asked for.
+TRACKED = 100
+
+
+def frequent_candidates(df: DataFrame, columns: Sequence[str], min_share: float) -> tuple[dict[str, list[str]], int]:
+    """Per column all labels that may have the share, at most ``2 / min_share``, and the number of rows; one scan.
+
+    At most ``1 / min_share`` labels can have the share. The summary's counts are off by less than a twentieth of it, so
+    none of them is behind the first ``2 / min_share`` by estimate. Each task passes on one summary per column.
+    """
+    if not 0.0 < min_share <= 1.0:
+        raise ValueError(f"min_share must be in (0, 1]: {min_share}")
+    wanted = math.ceil(2 / min_share)
+    top = [
+        F.call_function("approx_top_k", as_column(c).cast("string"), F.lit(wanted), F.lit(wanted * TRACKED)).alias(f"t{i}")
+        for i, c in enumerate(columns)
+    ]
+    found = df.agg(F.count(F.lit(1)).alias("rows"), *top).first()
+    candidates = {c: [e["item"] for e in found[f"t{i}"] or [] if e["item"] is not None] for i, c in enumerate(columns)}
+    return candidates, found["rows"]
+
+
+def candidate_counts(df: DataFrame, candidates: Mapping[str, Sequence[str]]) -> DataFrame:
+    """``(column, value, rows)`` of the candidates only; nothing else is shuffled."""
+    listed = F.array(
+        *[
+            F.struct(F.lit(c).alias("column"), F.when(text.isin(*labels), text).alias("value"))
+            for c, labels in candidates.items()
+            if labels
+            for text in [as_column(c).cast("string")]
+        ]
+    )
+    if not any(candidates.values()):
+        return df.sparkSession.createDataFrame([], "column string, value string, rows long")
+    cells = df.select(F.inline(listed)).filter(F.col("value").isNotNull())
+    return cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @dataclass(frozen=True)
 class RareLabels:
     """The labels of each column that are frequent enough to be kept.
@@ -103,6 +142,24 @@ class RareLabels:
             kept[row["column"]].append(row["value"])
         return cls({c: tuple(sorted(v)) for c, v in kept.items()}, other)
 
+    @classmethod
+    def fit_bounded(cls, df: DataFrame, columns: Sequence[str], min_share: float = 0.05, other: str = "Other") -> RareLabels:
+        """The same labels as ``fit`` in two scans whose state does not grow with the number of labels.
+
+        The first scan keeps a frequent-items summary per task and column, which is sure to hold every label of the
+        share asked for; the second one counts these candidates exactly. ``fit`` shuffles every distinct label of every
+        column instead: the better way for few labels, and the worse one for columns that are nearly keys.
+        """
+        if not columns:
+            return cls({}, other)
+        candidates, rows = frequent_candidates(df, columns, min_share)
+        counts = candidate_counts(df, candidates).collect()  # at most 2 / min_share rows per column
+        kept = {c: [] for c in columns}
+        for row in counts:
+            if row["rows"] / rows >= min_share:
+                kept[row["column"]].append(row["value"])
+        return cls({c: tuple(sorted(v)) for c, v in kept.items()}, other)
+
     def to_table(self, spark: SparkSession) -> DataFrame:
         """``(column, value)``; a column that keeps no label has one NULL row."""
         rows = [(c, v) for c, labels in self.kept.items() for v in (labels or [None])]

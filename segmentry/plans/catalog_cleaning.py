@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from ..operators import cleaning
 from ..sources import tables
 from ..sources.staging import fresh_path
-from .registry import query
+from .registry import ORACLES, query
 from .retail import RETAIL, raw_transactions, table
 
 # One row per order, cleaned like a raw file: the common start of several oracles.
@@ -150,6 +150,13 @@ def rare_label_collapse_wide(spark, folder):
     return cleaning.rare_label_collapse(part, ["p_brand", "p_type", "p_name"])
 
 
+@query("rare_labels_bounded", ORACLES["rare_label_collapse_wide"])
+def rare_labels_bounded(spark, folder):
+    """The same, without shuffling the labels of a column that is nearly a key."""
+    part = table(spark, folder, "part").select("p_partkey", "p_brand", "p_type", "p_name")
+    return cleaning.RareLabels.fit_bounded(part, ["p_brand", "p_type", "p_name"]).transform(part)
+
+
 @query("preprocess", f"with {CLEANED_SQL} select * from prepared")
 def preprocess(spark, folder):
     return cleaning.preprocess(raw_transactions(spark, folder), RETAIL)

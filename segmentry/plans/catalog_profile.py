@@ -343,3 +343,38 @@ def merged_quantiles(spark, folder):
     wanted = F.col("rank") * F.col("rows")
     bound = (F.col("below") <= wanted + slack) & (F.col("upto") >= wanted - slack)
     return ranked.select("group", "column", "rows", "rank", bound.alias("in_bound"))
+
+
+OBSERVED_SQL = (
+    f"with {CLEANED_SQL}, o as (select *, avg(c_acctbal) over () as c_acctbal_mean, avg(o_totalprice) over () as o_totalprice_mean "
+    "from cleaned) "
+    + " union all ".join(
+        [
+            _cell("missing_counts", c, f"'{m}'", v.format(c=c))
+            for c in ALL_COLUMNS
+            for m, v in (("missing", "count(*) filter ({c} is null)"), ("total", "count(*)"))
+        ]
+        + [_cell("numeric_summary", c, "'count'", f"count({c})") for c in RETAIL.numeric]
+        + [
+            _cell(section, c, f"'{m}'", MOMENTS[m].format(c=c))
+            for section, names in (("numeric_summary", list(MOMENTS)[:4]), ("numeric_moments", MOMENTS))
+            for c in RETAIL.numeric
+            for m in names
+        ]
+    )
+)
+
+
+@query("observed_quality", OBSERVED_SQL)
+def observed_quality(spark, folder):
+    """Three sections of the report gathered while the typed table is written, without a scan of their own."""
+    watched, sections = profiling.observed_quality(cleaning.clean_columns(raw_transactions(spark, folder), RETAIL), RETAIL)
+    stage(watched, "typed")
+    found = sections(6)
+    parts = []
+    for name, table_ in found.items():
+        metrics = [c for c in table_.columns if c not in ("column", "median")]
+        cells = table_.select("column", *[F.col(m).cast("double").alias(m) for m in metrics])
+        flat = cells.unpivot("column", metrics, "metric", "value")
+        parts.append(flat.select(F.lit(name).alias("section"), "column", "metric", F.round("value", 3).alias("value")))
+    return reduce(DataFrame.unionByName, parts)

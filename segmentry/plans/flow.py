@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..operators.cleaning import RareLabels, clean_columns, fit_labels, normalize_names
 from ..operators.features import build_features, feature_names, model_features
 from ..operators.locations import profile_sample
-from ..operators.profiling import report_sections
+from ..operators.profiling import observed_quality, report_sections
 from ..operators.ranking import rank_features, top_k_features
 from ..operators.segmentation import Segmentation, SweepOptions, cluster_profile, cluster_shares, segment
 from ..sources.tables import is_complete, load_ranking, manifest, materialize, scan_csv, source_manifest, store
@@ -54,9 +54,13 @@ def clean_transactions(
     table applies to the columns it needs, so it is not written a second time.
     """
     written_for = manifest("typed", source_manifest(spark, source), spec)
-    typed = materialize(
-        spark, f"{output}/typed", lambda: clean_columns(scan_csv(spark, source, spec.raw_schema()), spec), written_for
-    )
+    if not is_complete(spark, f"{output}/typed", written_for):
+        rows, sections = observed_quality(clean_columns(scan_csv(spark, source, spec.raw_schema()), spec), spec)
+        store(rows, f"{output}/typed", written_for)
+        # Data quality was gathered on the way; these sections of the report need no scan of their own.
+        for name, table in sections(2).items():
+            store(table, f"{output}/report/{name}", manifest(name, manifest("labels", written_for)))
+    typed = spark.read.parquet(f"{output}/typed")
     kept = materialize(
         spark, f"{output}/labels", lambda: fit_labels(typed, spec).to_table(spark), manifest("labels", written_for)
     )

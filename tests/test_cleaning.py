@@ -126,3 +126,22 @@ def test_descriptions_travel_with_the_cleaned_columns(spark):
     assert cleaned.schema["trn_monto"].metadata["comment"] == "transaction amount"
     assert cleaned.schema["trn_monto"].dataType.simpleString() == "double"
     assert all(v is None for v in cleaned.first())
+
+
+def test_bounded_fit_keeps_the_same_labels(spark):
+    n = 20_000
+    label = lambda salt, top: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(top)).cast("string")
+    df = spark.range(0, n, 1, 5).select(
+        F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"),
+        F.when(F.col("id") % 20 == 0, "edge").when(F.col("id") % 20 < 9, label(1, 5000)).alias("mixed"),
+        label(2, 21).alias("even"),
+        F.lit(None).cast("string").alias("nothing"),
+        F.when(F.col("id") < n * 0.05 - 1, "below").otherwise(label(3, 9000)).alias("just_below"),
+    )
+    columns = df.columns
+    exact, bounded = RareLabels.fit(df, columns), RareLabels.fit_bounded(df, columns)
+    assert exact.kept == bounded.kept and exact.kept["mixed"] == ("edge",) and exact.kept["key"] == ()
+    candidates, rows = cleaning.frequent_candidates(df, columns, 0.05)
+    assert rows == n and max(map(len, candidates.values())) <= 40
+    assert cleaning.candidate_counts(df, candidates).count() <= sum(map(len, candidates.values()))
+    assert RareLabels.fit_bounded(df.limit(0), columns).kept == RareLabels.fit(df.limit(0), columns).kept

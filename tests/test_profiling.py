@@ -204,3 +204,26 @@ def test_profile_sample_with_few_distinct_keys(spark):
     """Equal keys share a digest: the bound is widened until enough rows pass."""
     df = spark.range(1_000).select((F.col("id") % 3).alias("k"), "id")
     assert locations.profile_sample(df, 700, ["k"]).count() == 700
+
+
+def test_observed_sections_equal_the_scanned_ones_in_one_job(spark, tmp_path):
+    from segmentry.plans.retail import RETAIL
+    from tests.test_scoring import jobs_of
+
+    names = list(RETAIL.columns)
+    rows = [[str(i % 5), None if i % 7 == 0 else "s", "x4-NOT SPECIFIED" if i == 3 else "n", float(i) if i % 4 else None, "f", None, 1.5 * i] for i in range(200)]
+    kinds = ["double" if c in RETAIL.numeric else "string" for c in names]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {k}" for c, k in zip(names, kinds))).repartition(3)
+    watched, sections = profiling.observed_quality(df, RETAIL)
+    path = str(tmp_path / "typed")
+    plain = jobs_of(spark, lambda: df.write.parquet(str(tmp_path / "plain")))
+    assert jobs_of(spark, lambda: watched.write.parquet(path)) == plain
+    found, stored = sections(), spark.read.parquet(path)
+    wanted = profiling.report_sections(stored, RETAIL)
+    for name, table in found.items():
+        right = wanted[name]()
+        assert table.columns == right.columns
+        mine, theirs = ({r["column"]: r for r in t.collect()} for t in (table, right))
+        assert set(mine) == set(theirs)
+        for c in mine:
+            assert list(mine[c])[1:] == pytest.approx(list(theirs[c])[1:], nan_ok=True), (name, c)
