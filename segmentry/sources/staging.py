@@ -6,16 +6,24 @@ re-running everything above it, and its row count is known from the footers.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``, or else one below the warehouse, which is shared too."""
+    """Folder named by ``spark.checkpoint.dir``, which all executors share, or else one below the warehouse.
+
+    On a cluster, a warehouse in a local folder (the default where nobody set it) is an error: each executor
+    would write to its own disk.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/staging"
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master) and re.match(r"file:|/|[^:]*$", folder):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master}, found {folder})")
     return folder.rstrip("/")
 
 

@@ -106,3 +106,20 @@ def test_the_cluster_names_the_folder():
     unnamed = Named(None, "spark://host:7077")
     unnamed.conf["spark.sql.warehouse.dir"] = "s3a://shared/warehouse"
     assert staging.checkpoint_dir(unnamed) == "s3a://shared/warehouse/staging"
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from segmentry.sources.staging import checkpoint_dir
+
+    def session(master, **settings):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, *default: settings.get(name, *default)))
+
+    warehouse = {"spark.sql.warehouse.dir": "file:/w/"}
+    assert checkpoint_dir(session("local[4]", **warehouse)) == "file:/w/staging"
+    assert checkpoint_dir(session("yarn", **warehouse, **{"spark.checkpoint.dir": "hdfs:/shared/"})) == "hdfs:/shared"
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            checkpoint_dir(session(master, **warehouse))
