@@ -116,7 +116,7 @@ def numeric_moments(
 
 
 # Columns whose sums with another column are one row's aggregates: few enough that Spark compiles them in one loop.
-BLOCK = 8
+BLOCK = 4
 
 
 def pair_sums(numbers: DataFrame, width: int) -> DataFrame:
