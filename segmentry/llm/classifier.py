@@ -20,34 +20,31 @@ class NetRules:
     """Production parameters.
 
     ``chunk`` bytes form a chunk; neighbours overlap by ``width - 1`` bytes, so every stretch of ``width``
-    bytes lies in one. Filters slide by ``stride`` bytes. Training: at most ``sample`` labelled rows, and of each
-    at most ``sample_chunks`` chunks, evenly spread; scoring always covers the whole text.
+    bytes lies in one. Filters slide by ``stride`` bytes. Training: at most ``sample`` labelled rows, whose whole
+    texts hold at most ``sample_bytes`` together. Texts are whole in training as in scoring.
     """
 
     chunk: int = 520
     width: int = 8
-    stride: int = 2
+    stride: int = 1
     channels: int = 8
     filters: int = 24
     sample: int = 2000
-    sample_chunks: int = 24
+    sample_bytes: int = 8 << 20
     epochs: int = 6
     batch: int = 32
     rate: float = 0.01
     seed: int = 42
 
 
-def chunked(text: bytes, rules: NetRules, most: int | None = None) -> np.ndarray:
+def chunked(text: bytes, rules: NetRules) -> np.ndarray:
     """The text's chunks as rows of bytes. The last chunk ends with the text; a short text is filled with zeros."""
     data = np.frombuffer(text, np.uint8)
     if len(data) < rules.chunk:
         data = np.concatenate([data, np.zeros(rules.chunk - len(data), np.uint8)])
     step = rules.chunk - rules.width + 1
     count = -(-(len(data) - rules.chunk) // step) + 1
-    if most and count > most:
-        starts = np.linspace(0, len(data) - rules.chunk, most).astype(np.int64)
-    else:
-        starts = np.minimum(np.arange(count) * step, len(data) - rules.chunk)
+    starts = np.minimum(np.arange(count) * step, len(data) - rules.chunk)
     return np.lib.stride_tricks.sliding_window_view(data, rules.chunk)[starts]
 
 
@@ -152,26 +149,29 @@ def held_out(key: str) -> Column:
 
 
 def training_samples(docs: DataFrame, labels: DataFrame, rules: NetRules) -> list[tuple[np.ndarray, int]]:
-    """At most ``sample`` labelled texts that are not held out, picked by a hash of their id; their chunks are cut
-    in tasks, so what reaches the driver is bounded by sample x chunks x chunk bytes."""
+    """Chunks and labels of at most ``sample`` labelled texts that are not held out, picked by a hash of their id.
+
+    Texts are taken whole, in the order of the hash; one that would lift their sum above ``sample_bytes`` is passed
+    over, which bounds what reaches the driver. Rows with the same id, label and text count once.
+    """
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter("label is not null")
     usable = usable.filter(~held_out("doc_id") & F.col("doc_id").isNotNull()).distinct()
     picked = usable.orderBy(F.xxhash64("doc_id"), "label").limit(rules.sample)
-    texts = docs.filter(~held_out("doc_id")).join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
-    schema = T.StructType([*texts.select("doc_id", "label").schema, T.StructField("chunks", T.BinaryType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cut = [chunked((t.as_py() or "").encode(), rules, rules.sample_chunks).tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(cut, pa.binary())], names=schema.fieldNames()
-            )
-
-    cut = texts.mapInArrow(run, schema).orderBy(F.xxhash64("doc_id"), "label", F.md5("chunks")).limit(rules.sample)
-    return [
-        (np.frombuffer(bytes(row["chunks"]), np.uint8).reshape(-1, rules.chunk), row["label"])
-        for row in cut.select("label", "chunks").collect()
-    ]
+    texts = docs.filter(~held_out("doc_id")).join(F.broadcast(picked), "doc_id")
+    known = texts.select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    sized = known.select("doc_id", "label", F.md5("text").alias("digest"), F.octet_length("text").alias("size"))
+    chosen = sized.orderBy(F.xxhash64("doc_id"), "label", "digest").limit(rules.sample)
+    total, within = 0, []
+    for row in chosen.collect():
+        if total + row["size"] <= rules.sample_bytes:
+            total += row["size"]
+            within.append((row["doc_id"], row["label"], row["digest"]))
+    if not within:
+        return []
+    few = docs.sparkSession.createDataFrame(list(dict.fromkeys(within)), sized.drop("size").schema)
+    found = known.withColumn("digest", F.md5("text")).join(F.broadcast(few), ["doc_id", "label", "digest"])
+    rows = found.dropDuplicates(["doc_id", "label", "digest"]).orderBy(F.xxhash64("doc_id"), "label", "digest").collect()
+    return [(chunked(row["text"].encode(), rules), row["label"]) for row in rows]
 
 
 def score_texts(

@@ -132,6 +132,46 @@ def test_gradients_match_differences():
         assert found[name][place] == pytest.approx(slope, abs=2e-3)
 
 
+def plain_probability(net, text, rules):
+    """The network's probability of one text, window by window."""
+    data = list(text) + [0] * max(0, rules.chunk - len(text))
+    step, starts, at = rules.chunk - rules.width + 1, [], 0
+    while at + rules.chunk < len(data):
+        starts.append(at)
+        at += step
+    starts.append(len(data) - rules.chunk)
+    active = []
+    for start in starts:
+        responses = []
+        for w in range(start, start + rules.chunk - rules.width + 1, rules.stride):
+            inputs = [v for b in data[w : w + rules.width] for v in net["bytes"][b]]
+            responses.append([sum(x * f for x, f in zip(inputs, column)) for column in net["filters"].T])
+        active.append([max(0.0, max(r) + b) for r, b in zip(zip(*responses), net["bias"])])
+    features = [sum(f) / len(f) for f in zip(*active)] + [max(f) for f in zip(*active)]
+    logit = sum(f * o for f, o in zip(features, net["out"])) + net["out_bias"][0]
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_scores_match_a_plain_network(spark):
+    rules = classifier.NetRules(chunk=20, width=4, channels=3, filters=4)
+    net = classifier.new_network(rules)
+    source = [(1, None), (2, ""), (3, "ab"), (4, "twenty bytes exactly"), (5, "é and more text than one chunk holds, " * 3)]
+    found = {r.doc_id: r.score for r in classifier.score_texts(documents(spark, source), net, rules=rules).collect()}
+    for i, text in source:
+        assert found[i] == pytest.approx(plain_probability(net, (text or "").encode(), rules), abs=1e-5)
+
+
+def test_training_takes_whole_texts_within_its_bytes(spark):
+    rules = classifier.NetRules(sample_bytes=3000)
+    usable = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1][:6]
+    texts = {usable[0]: "x" * 5000, usable[1]: "y" * 2500, **{i: "word " * 10 for i in usable[2:]}}
+    labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(usable)], "doc_id long, quality int")
+    source = [*texts.items(), (usable[2], texts[usable[2]])]
+    samples = classifier.training_samples(documents(spark, source), labels, rules)
+    wanted = Counter(classifier.chunked(texts[i].encode(), rules).tobytes() for i in usable[1:])
+    assert Counter(c.tobytes() for c, _ in samples) == wanted
+
+
 def test_classifier_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
