@@ -14,15 +14,24 @@ from pyspark.sql import types as T
 
 from ..functions.expressions import as_column
 
-# Phrases that mark a line as page furniture, in the form of a regular expression.
+# Phrases of page furniture in English, German, French and Spanish, as regular expressions for lower-case text. The
+# first mark a line of any length, the others, which sentences hold too, only a short one.
 BOILERPLATE = (
     r"all rights reserved|cookies? (policy|settings|consent)|accept (all )?cookies|privacy policy|"
-    r"terms (of|and) (use|service|conditions)|subscribe to our|sign up for|enable javascript|"
-    r"javascript is (disabled|required)|click here|read more|share this|follow us|lorem ipsum"
+    r"terms (of|and) (use|service|conditions)|enable javascript|javascript is (disabled|required)|lorem ipsum|"
+    r"alle rechte vorbehalten|cookie-einstellungen|(alle )?cookies akzeptieren|"
+    r"tous droits r(é|É)serv(é|É)s|accepter (tous )?les cookies|politique de confidentialit(é|É)|"
+    r"todos los derechos reservados|aceptar (todas )?las cookies|pol(í|Í)tica de (cookies|privacidad)"
+)
+CALLS = (
+    r"subscribe to our|sign up for|click here|read more|share this|follow us|"
+    r"hier klicken|mehr lesen|weiterlesen|folgen sie uns|"
+    r"cliquez ici|lire la suite|suivez-nous|haga clic aqu(í|Í)|leer m(á|Á)s|s(í|Í)guenos"
 )
 SYMBOLS = b"#*$%&|<>"
 MARKS = b"#*$%&<>!?^~=_{}"
-NAVIGATION = b"|\xc2\xbb\xe2\x80\xba\xe2\x80\xa2"
+SEPARATORS = "|·•"
+ARROWS = ("»«", "›‹")  # a separator unless its counterpart makes it a quotation mark
 TERMINAL = ".!?:;\"')]}”’…"
 
 
@@ -31,16 +40,18 @@ class LineRules:
     """Thresholds; the defaults are the production parameters.
 
     ``marks_per_word``: a line fails if it has more marks (``#*$%&<>!?^~=_{}``).
-    ``menu_separators``: a line with at least so many ``|`` fails if it has one for
-    every ``words_per_separator`` words or fewer. ``fragment_words``: a line
-    of fewer words that does not end like a sentence fails. ``max_lost``: share of
-    a document's words, in per cent, that may be dropped.
+    ``menu_separators``: a line with at least so many separators (``|``, ``·``, ``•``, and ``»`` or ``›`` beyond the
+    number of ``«`` or ``‹``) fails if it has one for every ``words_per_separator`` words or fewer.
+    ``fragment_words``: a line of fewer words that does not end like a sentence fails. ``call_words``: a
+    line of fewer words fails if it holds one of ``CALLS``. ``max_lost``: share of a document's words, in per cent,
+    that may be dropped.
     """
 
     marks_per_word: float = 0.5
     menu_separators: int = 2
     words_per_separator: int = 4
     fragment_words: int = 5
+    call_words: int = 8
     max_lost: int = 30
     min_words: int = 20
     max_repeated: int = 30
@@ -54,18 +65,24 @@ MEASURES = T.StructType(
 )
 
 
-def line_fails(line: bytes, n_words: int, rules: LineRules, boilerplate: re.Pattern) -> bool:
+_SINGLE = [c.encode() for c in SEPARATORS]
+_PAIRED = [(right.encode(), left.encode()) for right, left in ARROWS]
+_BOILERPLATE, _CALLS = re.compile(BOILERPLATE.encode()), re.compile(CALLS.encode())
+
+
+def line_fails(line: bytes, n_words: int, rules: LineRules) -> bool:
     """Whether a line that holds words breaks a punctuation, navigation or boilerplate rule."""
     if len(line) - len(line.translate(None, MARKS)) > rules.marks_per_word * n_words:
         return True
-    separators = line.count(b"|")
+    separators = sum(map(line.count, _SINGLE)) + sum(max(0, line.count(right) - line.count(left)) for right, left in _PAIRED)
     if separators >= rules.menu_separators and separators * rules.words_per_separator >= n_words:
         return True
     if n_words < rules.fragment_words and not line.decode(errors="replace").rstrip(" \t\r\v\f").endswith(
         tuple(TERMINAL)
     ):
         return True
-    return boilerplate.search(line.lower()) is not None
+    lower = line.lower()
+    return _BOILERPLATE.search(lower) is not None or (n_words < rules.call_words and _CALLS.search(lower) is not None)
 
 
 def repeated_words(words: list[bytes], window: int = 8) -> int:
@@ -92,7 +109,7 @@ def repeated_words(words: list[bytes], window: int = 8) -> int:
     return int(np.count_nonzero(np.cumsum(edges)))
 
 
-def measure(text: str | None, rules: LineRules, boilerplate: re.Pattern) -> tuple:
+def measure(text: str | None, rules: LineRules) -> tuple:
     """The row of ``MEASURES`` for one whole text."""
     text = text or ""
     raw = text.encode()
@@ -107,7 +124,7 @@ def measure(text: str | None, rules: LineRules, boilerplate: re.Pattern) -> tupl
                 duplicates += 1
             else:
                 seen.add(line)
-            if line_fails(line, n, rules, boilerplate):
+            if line_fails(line, n, rules):
                 failed += 1
                 lost += n
                 continue
@@ -146,7 +163,6 @@ def quality_measures(
     width = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        boilerplate = re.compile(BOILERPLATE.encode())
         types = [
             {T.LongType(): pa.int64(), T.BooleanType(): pa.bool_(), T.StringType(): pa.string()}[f.dataType]
             for f in MEASURES
@@ -154,7 +170,7 @@ def quality_measures(
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                rows = [measure(t.as_py(), rules, boilerplate) for t in part.column(width)]
+                rows = [measure(t.as_py(), rules) for t in part.column(width)]
                 values = [pa.array(v, k) for v, k in zip(zip(*rows), types)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *values], names=schema.fieldNames())
 
@@ -169,6 +185,14 @@ def clean_documents(docs: DataFrame, rules: LineRules | None = None) -> DataFram
     return measured.select(*[new[c].alias(c) if c in new else as_column(c) for c in docs.columns])
 
 
+def _counted(char: str) -> str:
+    return f"(length(line) - length(replace(line, '{char}', '')))"
+
+
+_SEPARATORS = " + ".join(
+    [*map(_counted, SEPARATORS), *(f"greatest(0, {_counted(right)} - {_counted(left)})" for right, left in ARROWS)]
+)
+
 # The same measures and verdict with the production parameters.
 ORACLE_SQL = rf"""
 with texts as (select doc_id, coalesce(text, '') as text, row_number() over () as row from documents),
@@ -181,10 +205,9 @@ lines as (
 judged as (
   select row, n, row_number() over (partition by row, line order by pos) > 1 as duplicate,
     length(regexp_replace(line, '[^#*$%&<>!?^~=_{{}}]', '', 'g')) > 0.5 * n
-    or (length(regexp_replace(line, '[^|]', '', 'g')) >= 2
-      and 4 * length(regexp_replace(line, '[^|]', '', 'g')) >= n)
+    or ({_SEPARATORS} >= 2 and 4 * ({_SEPARATORS}) >= n)
     or (n < 5 and not regexp_matches(line, '[.!?:;"\x27)\]}}”’…][ \t\r\x0B\x0C]*$'))
-    or regexp_matches(lower(line), '{BOILERPLATE}') as failed
+    or regexp_matches(lower(line), '{BOILERPLATE}') or (n < 8 and regexp_matches(lower(line), '{CALLS}')) as failed
   from lines where n > 0),
 by_line as (
   select row, count(*) filter (where duplicate) as n_dup_lines, count(*) filter (where failed) as n_failed_lines,

@@ -102,6 +102,26 @@ def test_line_rules_drop_furniture_and_keep_prose(spark):
     assert kept[2].text == prose and quality.clean_documents(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize(
+    "line, fails",
+    [
+        ("Tous droits réservés.", True),
+        ("TOUS DROITS RÉSERVÉS pour tous les textes et toutes les images de la page.", True),
+        ("Alle Rechte vorbehalten.", True),
+        ("Todos los derechos reservados.", True),
+        ("Home · Blog · About us · Contact", True),
+        ("Home » Shop » Shoes and more.", True),
+        ("Click here to see it.", True),
+        ("Click here for the results of the 2021 study of birds.", False),
+        ("« Oui » dit-il, « non » dit-elle.", False),
+        ("»Ja«, sagte sie, »nein«, sagte er.", False),
+        ("Una casa vieja junto al río.", False),
+    ],
+)
+def test_line_rules_in_four_languages(line, fails):
+    assert quality.line_fails(line.encode(), len(line.split()), quality.LineRules()) == fails
+
+
 @pytest.fixture(scope="module")
 def reference():
     return Tokenizer.from_file(tokenizer_path())
