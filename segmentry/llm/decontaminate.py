@@ -68,10 +68,13 @@ class Myers:
 
 
 class Matcher:
-    """All items of one block: an automaton over their pieces, and their patterns."""
+    """All items of one block: an automaton over their pieces, and their patterns.
+
+    Patterns and texts get a blank at both ends, so an item begins and ends at a word's border.
+    """
 
     def __init__(self, items: list[tuple[int, str]], error_rate: float):
-        self.items = [(item, p, int(len(p) * error_rate)) for item, p in items]
+        self.items = [(item, f" {p} ", int(len(p) * error_rate)) for item, p in items]
         self.owners: dict[str, list[tuple[int, int]]] = {}
         for nth, (_, pattern, budget) in enumerate(self.items):
             for offset, piece in pieces(pattern, budget):
@@ -102,7 +105,13 @@ class Matcher:
         return found
 
     def search(self, text: str) -> Iterator[tuple[int, int, int, int]]:
-        """``item``, ``distance``, ``start`` and ``end`` of the best match of each item that stays in its budget."""
+        """``item``, ``distance``, ``start`` and ``end`` of the best match of each item that stays in its budget.
+
+        The span leaves out blanks at its ends.
+        """
+        if not text:
+            return
+        text = f" {text} "
         for nth, stretches in self.windows(text).items():
             item, pattern, budget = self.items[nth]
             if nth not in self.patterns:
@@ -117,7 +126,7 @@ class Matcher:
             if best:
                 distance, first, end = best
                 start = end - backward.best(text[first:end][::-1])[1]
-                yield item, distance, start, end
+                yield item, distance, start - (text[start] != " "), end - 1 - (text[end - 1] == " ")
 
 
 MATCH = T.ArrayType(
@@ -163,8 +172,9 @@ def leaks(
     """Best match of every test item in every document that holds it: ``doc_id``, ``item_id``, ``distance``, span.
 
     Both sides are compared as lower-cased letters and digits with one blank between words; ``start`` and
-    ``end`` count characters of that form. A document holds an item if some substring is within 8 % of
-    the item's characters in edits. An item is cut into that budget plus one pieces, one of
+    ``end`` count characters of that form. Both get a blank at each end, and a document holds an item if some
+    substring is within 8 % of the item's characters in edits; so an item inside a longer word costs edits, and
+    one too short for any edit is found as whole words only. An item is cut into that budget plus one pieces, one of
     which must occur unchanged; hits are verified around their place. NULL, empty and wordless texts and
     items match nothing; equal items each match; NULL ids are carried; repeated documents each give their rows.
     The items, a stated query set, go to the tasks in blocks of bounded size, one pass over the documents each.
