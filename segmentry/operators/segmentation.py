@@ -21,8 +21,11 @@ from .cleaning import fill_missing
 from .quantiles import group_medians
 from .scoring import sweep_scores
 
-# Tasks of every KMeans iteration and forest level, meant for up to a million rows each; the command line asks for a number.
+# Tasks of every KMeans iteration and forest level, at least; the command line asks for a number. Larger tables get more.
 PARTITIONS = 8
+PARTITION_ROWS = 500_000
+# Numbers that the fits of a sweep hold at the same time, ten more a row than its features: each fit keeps its own matrices.
+HELD = 400_000_000
 
 SWEEP_SCHEMA = "k int, segments int, silhouette double, min_share double, max_share double, accepted boolean"
 
@@ -31,8 +34,8 @@ SWEEP_SCHEMA = "k int, segments int, silhouette double, min_share double, max_sh
 class SweepOptions:
     """Numbers of segments to try, the acceptance rule, and how to run the fits.
 
-    ``partitions`` is the layout the fits see: with one seed, it alone decides the
-    models that the same rows give. ``parallelism`` fits run at the same time.
+    ``partitions`` is the least number of partitions of the layout the fits see: with one seed, it alone decides
+    the models that the same rows give. At most ``parallelism`` fits run at the same time, fewer over large tables.
     """
 
     ks: Sequence[int] = tuple(range(2, 21))
@@ -52,15 +55,20 @@ class Segmentation:
     scaler: PipelineModel
 
 
+def layout_partitions(df: DataFrame, partitions: int = PARTITIONS) -> int:
+    """``partitions``, or one per ``PARTITION_ROWS`` rows if these are more: what a task reads does not grow with the table."""
+    return max(partitions, -(-df.count() // PARTITION_ROWS))
+
+
 def fixed_layout(df: DataFrame, key: str, partitions: int = PARTITIONS) -> DataFrame:
     """The same rows in the same partitions and order, however ``df`` is laid out.
 
     KMeans and forests draw per partition, so a seed alone does not make them
     reproducible. Rows are spread by all their columns: a key with many versions
-    does not end up in one partition.
+    does not end up in one partition. ``df``, which is counted first, should be read from storage.
     """
     columns = [as_column(key), *[as_column(c) for c in df.columns if c != key]]
-    return df.repartition(partitions, *columns).sortWithinPartitions(*columns)
+    return df.repartition(layout_partitions(df, partitions), *columns).sortWithinPartitions(*columns)
 
 
 def scaling_pipeline(features: Sequence[str]) -> Pipeline:
@@ -76,7 +84,9 @@ def standardize(df: DataFrame, features: Sequence[str]) -> tuple[PipelineModel,
 
 
 def fit_kmeans(scaled: DataFrame, k: int, seed: int = 42, features: str = "features") -> KMeansModel:
-    return KMeans(k=k, featuresCol=features, seed=seed).fit(scaled)
+    """The model of ``k`` segments. The block solver packs the vectors once into matrices, which it keeps while it iterates;
+    the other one decodes the rows of a cached table in every iteration."""
+    return KMeans(k=k, featuresCol=features, seed=seed, solver="block").fit(scaled)
 
 
 def silhouette(df: DataFrame, prediction: str = "prediction", features: str = "features") -> float:
@@ -105,11 +115,18 @@ def assign_all(df: DataFrame, models: Mapping[int, KMeansModel]) -> tuple[DataFr
     return df, columns
 
 
+def fits_at_once(scaled: DataFrame, most: int) -> int:
+    """How many fits may hold the vectors at the same time. Over a table too large for several, one fit fills the cluster."""
+    first = scaled.select("features").first()
+    rows = scaled.count()
+    return max(1, min(most, HELD // (rows * (len(first[0]) + 10)))) if rows else most
+
+
 def k_sweep(scaled: DataFrame, options: SweepOptions = SweepOptions()) -> list[dict]:
     """Fit and score every number of segments; one entry each, accepted or not.
 
     An entry keeps its fitted model (the centres only), so the chosen one needs
-    no second fit. ``scaled`` should be cached, since every fit iterates over it.
+    no second fit. ``scaled`` should be cached, since every fit reads it.
     The fits are distributed jobs; a few of them share the cluster at a time, like
     the candidates of a cross validation. All of them are scored together, in two scans.
     """
@@ -117,10 +134,13 @@ def k_sweep(scaled: DataFrame, options: SweepOptions = SweepOptions()) -> list[d
     def fit(k: int) -> KMeansModel:
         return fit_kmeans(scaled, k, options.seed)
 
-    if options.parallelism <= 1:
+    at_once = min(options.parallelism, len(options.ks))
+    if at_once > 1:
+        at_once = fits_at_once(scaled, at_once)
+    if at_once <= 1:
         models = [fit(k) for k in options.ks]
     else:
-        with ThreadPool(min(options.parallelism, len(options.ks))) as pool:
+        with ThreadPool(at_once) as pool:
             # Wrapped one by one: each fit needs its own copy of the thread's job properties.
             fits = [inheritable_thread_target(scaled.sparkSession)(partial(fit, k)) for k in options.ks]
             models = pool.map(lambda run: run(), fits, chunksize=1)

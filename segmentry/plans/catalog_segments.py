@@ -66,7 +66,7 @@ def line_points(spark, folder):
     names = [c for c in dummies.columns if c not in lines.columns]
     points = segmentation.standardize(dummies, names)[1]
     needed = points.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "features")
-    laid = needed.repartition(segmentation.PARTITIONS, "l_orderkey", "l_linenumber")
+    laid = needed.repartition(segmentation.layout_partitions(lines), "l_orderkey", "l_linenumber")
     return points, laid.sortWithinPartitions("l_orderkey", "l_linenumber").select("features").cache()
 
 
@@ -301,21 +301,25 @@ def _sweep_checks(sweep, vectors):
     sums = points.groupBy("k", "own").agg(
         F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(square).alias("psi")
     )
-    sums = stage(sums.groupBy("k").agg(F.collect_list(F.struct("own", "n", "sx", "sy", "psi")).alias("segments")), "sums")
-
-    def distance(s):
-        return square + s["psi"] / s["n"] - 2 * (F.col("x") * s["sx"] + F.col("y") * s["sy"]) / s["n"]
-
-    placed = points.join(F.broadcast(sums), "k").withColumn("mine", F.filter("segments", lambda s: s["own"] == F.col("own"))[0])
-    others = F.filter("segments", lambda s: s["own"] != F.col("own"))
-    n = F.col("mine")["n"]
-    measured = placed.select(
-        "k", n.alias("n"), (distance(F.col("mine")) * n / F.greatest(n - 1, F.lit(1))).alias("inside"),
-        F.array_min(F.transform(others, distance)).alias("nearest"),
-    )
+    mean = [(2 * F.col(s) / F.col("n")).alias(m) for s, m in (("sx", "mx"), ("sy", "my"))]
+    sums = stage(sums.select("k", "own", "n", (F.col("psi") / F.col("n")).alias("spread"), *mean), "sums")  # one row per k and segment
+    listed = sums.groupBy("k").agg(F.collect_list(F.struct("own", "spread", "mx", "my")).alias("segments"))
+    others = F.filter("segments", lambda s: s["own"] != F.col("own")).alias("others")
+    known = sums.join(listed, "k").select("k", "own", "n", "spread", "mx", "my", others)
+
+    def beyond(spread, mx, my):
+        """How far the mean squared distance to a segment exceeds the row's own square."""
+        return spread - F.col("x") * mx - F.col("y") * my
+
+    nearest = F.array_min(F.transform("others", lambda s: beyond(s["spread"], s["mx"], s["my"])))
+    own = (square + beyond(F.col("spread"), F.col("mx"), F.col("my"))) * F.col("n") / F.greatest(F.col("n") - 1, F.lit(1))
+    placed = points.join(F.broadcast(known), ["k", "own"])
+    measured = placed.select("k", "n", own.alias("inside"), (square + nearest).alias("nearest"))
     value = F.when(F.col("n") == 1, 0.0).otherwise(F.try_divide(F.col("nearest") - F.col("inside"), F.greatest("nearest", "inside")))
     means = {r["k"]: r["mean"] for r in measured.groupBy("k").agg(F.avg(value).alias("mean")).collect()}
-    sizes = {r["k"]: [s["n"] for s in r["segments"]] for r in sums.collect()}  # one row per k
+    sizes = {}
+    for r in sums.collect():
+        sizes.setdefault(r["k"], []).append(r["n"])
     rows = []
     for e in sweep:
         counts = sizes[e["k"]]

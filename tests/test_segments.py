@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from segmentry.operators import ranking, segmentation
 from segmentry.operators.segmentation import SweepOptions, best_k, cluster_profile, cluster_shares, segment, share_rule
+from segmentry.plans import catalog_segments
 from segmentry.spec import REGULATOR_RULE, ShareRule
 
 
@@ -190,3 +191,40 @@ def test_refit_uses_the_top_features_only(spark):
     best, refit = ranking.refit_top_k(df, table, 2, ["x", "y", "gap"], [], "key", SweepOptions(ks=(3, 4)))
     assert best == ["x", "y"] and refit.best_k == 4
     assert ranking.top_k_features(table, 2, ["x"], ["y", "gap"]) == (["x"], ["y"])
+
+
+def test_the_layout_grows_with_the_table(spark, small, monkeypatch):
+    """What one task reads stays bounded: small tables keep the given number of partitions, larger ones get more."""
+    assert segmentation.fixed_layout(blobs(spark), "key").rdd.getNumPartitions() == segmentation.PARTITIONS
+    monkeypatch.setattr(segmentation, "PARTITION_ROWS", 30)
+    laid = segmentation.fixed_layout(blobs(spark), "key")
+    assert laid.rdd.getNumPartitions() == 14
+    assert sorted(r["key"] for r in laid.select("key").collect()) == list(range(400))
+    monkeypatch.setattr(segmentation, "PARTITION_ROWS", 300)
+    vectors = catalog_segments.line_points(spark, small)[1]
+    assert vectors.rdd.getNumPartitions() == -(-vectors.count() // 300) > segmentation.PARTITIONS
+
+
+def test_block_solver_gives_the_same_centres(spark, monkeypatch):
+    """Packed vectors are iterated over, not decoded rows, and the centres are those of the row solver."""
+    _, scaled = segmentation.standardize(blobs(spark), ["x", "y"])
+    vectors = scaled.select("features").cache()
+    seen = []
+    fit = segmentation.KMeans.fit
+    monkeypatch.setattr(segmentation.KMeans, "fit", lambda self, df: seen.append(self.getSolver()) or fit(self, df))
+    centres = segmentation.fit_kmeans(vectors, 4).clusterCenters()
+    assert seen == ["block"]
+    plain = fit(segmentation.KMeans(k=4, seed=42, solver="row"), vectors).clusterCenters()
+    assert np.allclose(centres, plain, atol=1e-9)
+    vectors.unpersist()
+
+
+def test_fewer_fits_at_once_over_large_tables(spark, monkeypatch):
+    _, scaled = segmentation.standardize(blobs(spark), ["x", "y"])
+    assert segmentation.fits_at_once(scaled, 8) == 8
+    monkeypatch.setattr(segmentation, "HELD", 400 * 12 * 3)
+    assert segmentation.fits_at_once(scaled, 8) == 3
+    monkeypatch.setattr(segmentation, "HELD", 1)
+    assert segmentation.fits_at_once(scaled, 8) == 1 and segmentation.fits_at_once(scaled.limit(0), 8) == 8
+    sweep = segmentation.k_sweep(scaled, SweepOptions(ks=(3, 4)))
+    assert best_k(sweep)["k"] == 4
