@@ -123,3 +123,24 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
     for master in ("yarn", "local-cluster[3,2,1024]", "spark://host:7077"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             checkpoint_dir(session(master, **warehouse))
+
+
+def test_tables_staged_on_the_way_are_deleted(spark):
+    """``stage_alone`` keeps the result and nothing else, also of nested calls, also if the build fails."""
+    met = []
+
+    def inner():
+        met.append(staging.fresh_path(spark, "seen"))
+        return staging.stage(spark.range(5), "inner")
+
+    def build():
+        met.append(staging.fresh_path(spark, "seen"))
+        first = staging.stage(spark.range(10), "first")
+        return first.join(staging.stage_alone(spark, inner, "second"), "id")
+
+    result = staging.stage_alone(spark, build, "result")
+    assert sorted(r.id for r in result.collect()) == list(range(5))
+    assert not any(tables.exists(spark, path.rsplit("/", 1)[0]) for path in met)
+    with pytest.raises(ZeroDivisionError):
+        staging.stage_alone(spark, lambda: 1 / 0, "broken")
+    assert staging.fresh_path(spark, "a").rsplit("/", 1)[0] == staging._session_folder(spark)
