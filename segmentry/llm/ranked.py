@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import as_column
 from ..sources.staging import stage
-from .batches import slices
+from .batches import batches_of, slices
 
 # Terms, weights and scores.
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -33,6 +33,7 @@ SLOTS_PER_TERM = 16  # a sketch has the next power of two of slots; most are zer
 FULL = 255  # a slot keeps frequencies below; this value means any frequency, and the largest impact
 LIMIT = SCALE // 1000  # no impact reaches it
 BATCH_BYTES = 4 << 20
+BATCH_ROWS = 500  # rows handed to a task at once; sketches are several times as large as their texts
 PARTIAL_TERMS = 200_000  # distinct terms whose document counts a task gathers before it passes them on
 BLOCK_TERMS = 20_000  # terms, with repeats, of the items answered in one scan
 LOOKUPS = 1_000_000  # slots looked up at once
@@ -119,7 +120,8 @@ def search_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         if known:
             yield document_counts()
 
-    return stage(source.mapInArrow(run, schema), "search-index")
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return stage(source.mapInArrow(run, schema), "search-index")
 
 
 def item_terms(items: DataFrame, key: str, text: str) -> DataFrame:
@@ -293,7 +295,8 @@ def ranked_documents(
                 )
 
         sketches = entries.select(F.col("doc_id").cast("long").alias("doc_id"), "n", "sketch", "terms", "tfs")
-        answers = stage(sketches.mapInArrow(run, "item long, doc_id long, score long"), "answers")
+        with batches_of(spark, BATCH_ROWS):
+            answers = stage(sketches.mapInArrow(run, "item long, doc_id long, score long"), "answers")
         shared.destroy()
         found = answers if found is None else found.unionByName(answers)
     if found is None:

@@ -121,3 +121,19 @@ def test_bounds_spare_documents():
             columns[name].append(value)
     found = list(ranked.search_part(iter([pa.RecordBatch.from_pydict(columns)]), block, 36_480, 608, 5))
     assert len(found) == 5 and len(scored) < 20
+
+
+def test_tasks_get_bounded_batches(spark, monkeypatch):
+    """A sketch is several times as large as its text, so a task must not hold thousands of them at once."""
+
+    def sizes(batches, block, total, documents, top):
+        for batch in batches:
+            yield block.items[0], batch.num_rows, 1
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    monkeypatch.setattr(ranked, "search_part", sizes)
+    docs = documents(spark, [(i, "one two") for i in range(3000)]).coalesce(1)
+    found = [r.doc_id for r in ranked.ranked_documents(docs, asked(spark, [(1, "two")]), top=3000).collect()]
+    assert sum(found) == 3000 and max(found) <= 500
+    assert spark.conf.get(setting) == before
