@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import types as T
 
@@ -144,3 +146,34 @@ def test_tables_staged_on_the_way_are_deleted(spark):
     with pytest.raises(ZeroDivisionError):
         staging.stage_alone(spark, lambda: 1 / 0, "broken")
     assert staging.fresh_path(spark, "a").rsplit("/", 1)[0] == staging._session_folder(spark)
+
+
+def test_shuffle_files_go_with_the_staged_table(spark):
+    """What a staged write shuffled is of no use once it is written, and must not fill the disks until the driver collects garbage."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {name for name in blocks.getAllFiles().mkString("\n").split("\n") if name.endswith(".data")}
+
+    before = shuffled()
+    counted = spark.range(10_000).selectExpr("id % 100 as k", "id").groupBy("k").count()
+    assert staging.stage(counted, "counted").count() == 100
+    assert staging.stage_alone(spark, lambda: counted, "alone").filter("count = 100").count() == 100
+    for _ in range(50):
+        if len(shuffled() - before) <= 2:
+            break
+        time.sleep(0.1)
+    # The counts above shuffle a single row each, which Spark keeps.
+    assert len(shuffled() - before) <= 2
+    assert spark.conf.get(staging._SHUFFLE_CLEANUP) == "false"
+
+
+def test_a_table_staged_meanwhile_is_deleted(spark):
+    with staging.staged_meanwhile(spark.range(7), "meanwhile") as table:
+        path = table.inputFiles()[0].rsplit("/", 1)[0]
+        assert table.count() == 7 and tables.exists(spark, path)
+    assert not tables.exists(spark, path)
+    with pytest.raises(ZeroDivisionError), staging.staged_meanwhile(spark.range(1), "broken") as table:
+        path = table.inputFiles()[0].rsplit("/", 1)[0]
+        1 / 0
+    assert not tables.exists(spark, path)
