@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import as_column
-from ..sources.staging import stage
+from ..sources.staging import stage_next
 
 BETWEEN = re.compile(r"[\W_]+")
 
@@ -212,9 +212,29 @@ def leaks(
 
 
 def remove_leaking(docs: DataFrame, items: DataFrame, rules: LeakRules | None = None) -> DataFrame:
-    """``docs`` without the documents that hold a test item. The rows are stored once with a number to join on."""
-    source = stage(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "leak-docs")
-    found = leaks(source.select("row", F.col("doc.text").alias("text")), items, key="row", rules=rules)
-    hit = found.select("doc_id").distinct()
-    clean = source.join(hit, F.col("row") == F.col("doc_id"), "left_anti")
-    return clean.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
+    """``docs`` without the documents that hold a test item, as ``leaks`` finds them.
+
+    Each row is kept or dropped where its text is searched; only texts go to Python and nothing is joined. With several blocks of
+    items, what one block leaves is stored for the next, and only the last of these tables stays.
+    """
+    rules = rules or LeakRules()
+    spark = docs.sparkSession
+    queries = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
+
+    def search(left: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(block)
+
+        def holds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            matcher = Matcher(shared.value, rules.error_rate)
+            for texts in batches:
+                found = [any(True for _ in matcher.search(normal_text(t.as_py()))) for t in texts]
+                yield pa.array(found, pa.bool_())
+
+        return left.filter(~F.arrow_udf(holds, "boolean")("text"))
+
+    left, path = docs, None
+    for block in item_blocks(queries, rules.block_chars):
+        if left is not docs:
+            left, path = stage_next(left, "leak-rest", path)
+        left = search(left, block)
+    return left

@@ -269,6 +269,21 @@ def test_leaks_against_all_substrings(spark):
         assert span == span.strip()
 
 
+@pytest.mark.parametrize("block_chars", [10, 4_000_000])
+def test_leaking_documents_go_without_a_join_or_a_copy_of_all(spark, block_chars):
+    benchmark = spark.createDataFrame([(1, "the art of war"), (2, "old man and the sea")], "item_id long, text string")
+    source = [(1, "On the art of war."), (1, "other"), (None, "The old man and the sea"), (2, None), (None, "none"), (None, "none")]
+    docs = documents(spark, source)
+    left = decontaminate.remove_leaking(docs, benchmark, decontaminate.LeakRules(block_chars=block_chars))
+    assert sorted(str((r.doc_id, r.text)) for r in left.collect()) == sorted(
+        str(x) for x in [(1, "other"), (2, None), (None, "none"), (None, "none")]
+    )
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    if block_chars > 10:  # one block
+        assert not left.inputFiles() and left.schema == docs.schema
+
+
 def test_leaks_begin_and_end_at_word_borders(spark):
     benchmark = spark.createDataFrame([(1, "No."), (2, "art of war")], "item_id long, text string")
     source = [(1, "Knowledge"), (2, "no"), (3, "He said: No!"), (4, "the art of war, again"), (5, "part of warfare"), (6, "")]
