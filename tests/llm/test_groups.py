@@ -214,6 +214,28 @@ def test_simhash_is_the_majority_of_word_hashes(spark, n):
     assert got == value
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 6, 126, 128, 300])
+def test_simhash_bits_at_the_edges_of_the_counters(spark, n):
+    """Bits that all, none, half, one more or one less than half of the hashes have, the topmost counter among them."""
+    for ones in {0, n // 2, n // 2 + 1, max(0, (n - 1) // 2), n}:
+        line = spark.createDataFrame([([-1] * ones + [0] * (n - ones), 0x0F0F0F0F0F0F0F0F)], "h array<long>, tie long")
+        width = F.lit(8 if n < 128 else 16)
+        got = line.select(lines._bits(lines._sums(F.col("h"), width), width, F.size("h"), F.col("tie"))).first()[0]
+        assert got == (-1 if 2 * ones > n else 0x0F0F0F0F0F0F0F0F if 2 * ones == n else 0)
+
+
+def test_wanted_lines_are_normalised_after_the_join_only(spark):
+    docs = documents(spark, [(1, "One two\nthree"), (1, "other"), (None, "Four!")])
+    found = lines.exploded(lines.numbered(docs, "doc_id", "text"))
+    wanted = found.filter("norm <> 'three'").select(F.monotonically_increasing_id().alias("id"), "doc_id", "pos", "k1", "k2")
+    texts = lines.line_texts(docs, wanted)
+    assert sorted(r.norm for r in texts.collect()) == ["four", "one two", "other"]
+    joins = [x for x in texts._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert len(joins) == 1 and "xxhash64" not in joins[0] and "regexp_replace" not in joins[0]
+    # Text at the place that has another key is no answer.
+    assert not lines.line_texts(docs, wanted.withColumn("k2", F.lit(5).cast("long"))).count()
+
+
 def test_lines_of_odd_rows(spark):
     source = odd_texts()
     docs = documents(spark, source)
