@@ -38,6 +38,21 @@ def check_base(rows, source):
     assert Counter(got) == Counter(wanted)
 
 
+def test_scoring_tasks_get_bounded_batches(spark, monkeypatch):
+    name, seen, real = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, mixing.stage
+    before = spark.conf.get(name)
+
+    def recorded(df, table):
+        seen[table] = int(spark.conf.get(name))
+        return real(df, table)
+
+    monkeypatch.setattr(mixing, "stage", recorded)
+    source = odd_texts() + [(100 + i, f"text number {i} of many") for i in range(600)]
+    rows = mixing.lm_scores(documents(spark, source), rules=SMALL_TABLES).collect()
+    assert len(rows) == len(source) and seen["lm-scored"] <= 500 and spark.conf.get(name) == before
+    check_base(rows, source)
+
+
 def test_base_scores_of_odd_rows(spark):
     source = odd_texts()
     rows = mixing.lm_scores(documents(spark, source), rules=SMALL_TABLES).collect()
