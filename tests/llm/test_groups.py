@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from segmentry.llm import decontaminate, groups, lines, near
 from segmentry.llm.queries import QUERIES
+from segmentry.sources import staging
 from tests.llm.data import documents, odd_texts, sentence
 
 
@@ -76,6 +77,24 @@ def test_linked_components_lose_no_link_and_try_few_pairs(spark, tmp_path):
     assert sum(tried) == 499
 
 
+def test_a_pair_of_several_open_buckets_is_made_once(spark):
+    """Values of ten components share four buckets, the heads of which are linked to none of them."""
+    rows = [(0, key) for key in range(4)] + [(i, key) for i in range(1, 11) for key in range(i % 2, 4)]
+    tried, plans = [], []
+
+    def verify(pairs):
+        tried.append(sorted((r.a, r.b) for r in pairs.collect()))
+        plans.append(pairs._jdf.queryExecution().optimizedPlan().toString())
+        return pairs.filter("a = 3 and b = 8")
+
+    describe = lambda ids: ids.withColumn("even", F.col("id") % 2 == 0)
+    table = spark.createDataFrame(rows, "id long, key long")
+    got = groups.linked_components(table, verify, describe, lambda a, b: F.col(a + "even") | F.col(b + "even")).collect()
+    pairs = [(a, b) for a, b in itertools.combinations(range(1, 11), 2) if a % 2 == 0 or b % 2 == 0]
+    assert tried[-1] == pairs and not plans[-1].startswith("Aggregate")  # by the join, not by dropping repetitions
+    assert [(r.id, r.component) for r in got] == [(8, 3)]
+
+
 def shingles(text):
     words = re.findall(r"\w+", (text or "").lower())
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
@@ -236,6 +255,31 @@ def test_wanted_lines_are_normalised_after_the_join_only(spark):
     assert not lines.line_texts(docs, wanted.withColumn("k2", F.lit(5).cast("long"))).count()
 
 
+def test_edit_similarity_by_parts_is_that_of_the_whole(spark):
+    """Pairs around the bound, with edits that move everything behind them, at one place or everywhere; one beyond ASCII."""
+    state = random.Random(12)
+    pairs = [("", ""), ("a", ""), ("a", "b"), ("abcd", "abce"), ("abcde", "abcdf"), ("é" * 30, "é" * 24), ("xy" * 20, "yx" * 20)]
+    for _ in range(150):
+        a = sentence(state, state.randint(2, 25))
+        b = list(a)
+        for _ in range(state.randint(0, len(a) // 3)):
+            at = state.randrange(max(1, len(b) // state.choice([1, 1, 5])))
+            b[at : at + 1] = state.choice([[], ["q"], ["é", "z"], list(" word")])
+        pairs.append((a, "".join(b)))
+    table = spark.createDataFrame(pairs, "a string, b string")
+    got = [r[0] for r in table.select(lines.edit_similar("a", "b", 0.8)).collect()]
+    wanted = [edits(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9) for a, b in pairs]
+    assert got == wanted and 30 < sum(wanted) < len(wanted) - 30
+
+
+def test_line_dedup_leaves_no_tables_of_its_search(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "checkpoint_dir", lambda spark: str(tmp_path))
+    docs = documents(spark, [(1, "one two three four\nfive"), (2, "one two three four\nsix"), (3, None)])
+    left = lines.remove_lines(docs, lines.EDIT_RULES)
+    assert sorted({p.parent.name.split("-")[1] for p in tmp_path.rglob("*.parquet")}) == ["cuts", "docs"]
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(1, "one two three four\nfive"), (2, "six"), (3, None)]
+
+
 def test_lines_of_odd_rows(spark):
     source = odd_texts()
     docs = documents(spark, source)
