@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from functools import partial
 from multiprocessing.pool import ThreadPool
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -83,10 +84,25 @@ def standardize(df: DataFrame, features: Sequence[str]) -> tuple[PipelineModel,
     return model, model.transform(df)
 
 
-def fit_kmeans(scaled: DataFrame, k: int, seed: int = 42, features: str = "features") -> KMeansModel:
+def fit_kmeans(scaled: DataFrame, k: int, seed: int = 42, features: str = "features", solver: str = "block") -> KMeansModel:
     """The model of ``k`` segments. The block solver packs the vectors once into matrices, which it keeps while it iterates;
-    the other one decodes the rows of a cached table in every iteration."""
-    return KMeans(k=k, featuresCol=features, seed=seed, solver="block").fit(scaled)
+    the other one decodes the rows of a cached table in every iteration.
+
+    The block solver reads beyond its centres where it starts from fewer than ``k``: among fewer distinct points, or where
+    far outliers are all that is drawn. The row solver then gives the model of those centres.
+    """
+    kmeans = KMeans(k=k, featuresCol=features, seed=seed, solver=solver)
+    try:
+        return kmeans.fit(scaled)
+    except Py4JJavaError as error:
+        if solver != "block" or "ArrayIndexOutOfBoundsException" not in str(error):
+            raise
+    return kmeans.copy().setSolver("row").fit(scaled)
+
+
+def distinct_points(scaled: DataFrame, most: int, features: str = "features") -> int:
+    """How many distinct vectors there are, counted up to ``most``."""
+    return scaled.select(features).distinct().limit(most).count()
 
 
 def silhouette(df: DataFrame, prediction: str = "prediction", features: str = "features") -> float:
@@ -129,10 +145,13 @@ def k_sweep(scaled: DataFrame, options: SweepOptions = SweepOptions()) -> list[d
     no second fit. ``scaled`` should be cached, since every fit reads it.
     The fits are distributed jobs; a few of them share the cluster at a time, like
     the candidates of a cross validation. All of them are scored together, in two scans.
+    Distinct points are counted first: more segments than these have fewer centres, which the row solver fits.
     """
 
+    points = distinct_points(scaled, max(options.ks, default=0))
+
     def fit(k: int) -> KMeansModel:
-        return fit_kmeans(scaled, k, options.seed)
+        return fit_kmeans(scaled, k, options.seed, solver="block" if k <= points else "row")
 
     at_once = min(options.parallelism, len(options.ks))
     if at_once > 1:

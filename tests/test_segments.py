@@ -219,6 +219,27 @@ def test_block_solver_gives_the_same_centres(spark, monkeypatch):
     vectors.unpersist()
 
 
+def test_more_segments_than_points_or_starting_centres(spark, monkeypatch):
+    """Fewer starting centres than segments: the model holds these, as the row solver gives them."""
+    few = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.range(90).selectExpr("cast(id % 3 as double) as x"))
+    few = few.select("features")
+    assert segmentation.distinct_points(few, 2) == 2 and segmentation.distinct_points(few, 9) == 3
+    assert sorted(c[0] for c in segmentation.fit_kmeans(few, 5).clusterCenters()) == [0.0, 1.0, 2.0]
+    # Two outliers of different size draw all weight in both steps of the start.
+    x = "case id when 7 then 1e40 when 8 then 1e20 else id / 100 end"
+    far = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.range(90).selectExpr(f"cast({x} as double) as x"))
+    far = far.select("features")
+    centres = sorted(c[0] for c in segmentation.fit_kmeans(far, 6).clusterCenters())
+    plain = segmentation.KMeans(k=6, seed=42, solver="row").fit(far).clusterCenters()
+    assert len(centres) < 6 and centres == sorted(c[0] for c in plain)
+    seen = []
+    fit = segmentation.KMeans.fit
+    monkeypatch.setattr(segmentation.KMeans, "fit", lambda self, df: seen.append((self.getK(), self.getSolver())) or fit(self, df))
+    sweep = segmentation.k_sweep(few, SweepOptions(ks=(2, 3, 4, 5)))
+    assert [e["segments"] for e in sweep] == [2, 3, 3, 3] and sweep[3]["silhouette"] == pytest.approx(1.0)
+    assert sorted(seen) == [(2, "block"), (3, "block"), (4, "row"), (5, "row")]
+
+
 def test_fewer_fits_at_once_over_large_tables(spark, monkeypatch):
     _, scaled = segmentation.standardize(blobs(spark), ["x", "y"])
     assert segmentation.fits_at_once(scaled, 8) == 8
