@@ -240,6 +240,13 @@ def test_more_segments_than_points_or_starting_centres(spark, monkeypatch):
     assert sorted(seen) == [(2, "block"), (3, "block"), (4, "row"), (5, "row")]
 
 
+def test_refit_tries_more_segments_than_its_points(spark):
+    df = spark.range(300).selectExpr("id as key", "cast(id % 3 = 0 as int) as a", "cast(id % 3 = 1 as int) as b", "id / 7.0 as noise")
+    table = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 2), ("noise", 0.1, 3)], "feature string, importance double, rank int")
+    best, refit = ranking.refit_top_k(df, table, 2, ["noise"], ["a", "b"], "key", SweepOptions(ks=(2, 3, 4), rule=ShareRule(0.3, 0.4)))
+    assert best == ["a", "b"] and refit.best_k == 3 and refit.silhouette == pytest.approx(1.0)
+
+
 def test_fewer_fits_at_once_over_large_tables(spark, monkeypatch):
     _, scaled = segmentation.standardize(blobs(spark), ["x", "y"])
     assert segmentation.fits_at_once(scaled, 8) == 8
