@@ -247,6 +247,14 @@ def test_refit_tries_more_segments_than_its_points(spark):
     assert best == ["a", "b"] and refit.best_k == 3 and refit.silhouette == pytest.approx(1.0)
 
 
+def test_segment_tries_more_segments_than_its_points(spark):
+    df = spark.range(300).selectExpr("id as key", "cast(id % 3 as double) as x")
+    again = segment(df, ["x"], "key", SweepOptions(ks=(2, 3, 4, 6), rule=ShareRule(0.3, 0.4)))
+    assert again.best_k == 3 and again.silhouette == pytest.approx(1.0)
+    groups = again.predictions.groupBy("x").agg(F.countDistinct("prediction").alias("n"), F.count("*").alias("rows")).collect()
+    assert sorted((r["x"], r["n"], r["rows"]) for r in groups) == [(0.0, 1, 100), (1.0, 1, 100), (2.0, 1, 100)]
+
+
 def test_fewer_fits_at_once_over_large_tables(spark, monkeypatch):
     _, scaled = segmentation.standardize(blobs(spark), ["x", "y"])
     assert segmentation.fits_at_once(scaled, 8) == 8
