@@ -95,6 +95,45 @@ def test_a_pair_of_several_open_buckets_is_made_once(spark):
     assert [(r.id, r.component) for r in got] == [(8, 3)]
 
 
+def test_pairs_are_screened_and_made_in_parts(spark, monkeypatch):
+    """Nothing that cannot be linked is verified, not even against a head; open buckets joined in parts give each pair once."""
+    rows = [(0, key) for key in range(4)] + [(i, key) for i in range(1, 11) for key in range(i % 2, 4)]
+    table = spark.createDataFrame(rows, "id long, key long")
+    describe = lambda ids: ids.withColumn("even", F.col("id") % 2 == 0)
+    found = {}
+    for most in (4_000_000, 10):
+        monkeypatch.setattr(groups, "OPEN_ROWS", most)
+        tried, stored, real = [], [], groups.stage
+        monkeypatch.setattr(groups, "stage", lambda df, name: stored.append(name) or real(df, name))
+
+        def verify(pairs):
+            tried.append(sorted((r.a, r.b) for r in pairs.collect()))
+            return pairs.filter("a = 3 and b = 8")
+
+        possible = lambda a, b: F.col(a + "even") != F.col(b + "even")
+        got = groups.linked_components(table, verify, describe, possible).collect()
+        monkeypatch.setattr(groups, "stage", real)
+        assert tried[0] == [(0, b) for b in range(1, 11, 2)]
+        assert tried[1] == [(a, b) for a, b in itertools.combinations(range(1, 11), 2) if (a + b) % 2]
+        found[most] = sorted((r.id, r.component) for r in got), stored.count("pairs")
+    assert found[10][0] == found[4_000_000][0] == [(8, 3)]
+    assert found[4_000_000][1] == 2 and found[10][1] > 3
+
+
+def test_texts_are_compared_in_parts(spark, monkeypatch):
+    """Pairs carry their texts part by part, with the links of all at once."""
+    words = [f"w{i}" for i in range(12)]
+    texts = [(i, " ".join(words[: 4 + i % 5] + [f"x{i // 5}"])) for i in range(20)]
+    norms = spark.createDataFrame(texts, "id long, norm string")
+    pairs = spark.createDataFrame(list(itertools.combinations(range(20), 2)), "a long, b long")
+    whole = sorted(tuple(r) for r in lines.similar_pairs(pairs, norms, 0.8).collect())
+    stored, real = [], lines.stage
+    monkeypatch.setattr(lines, "stage", lambda df, name: stored.append(name) or real(df, name))
+    monkeypatch.setattr(lines, "PAIRS", 1)
+    parted = sorted(tuple(r) for r in lines.similar_pairs(pairs, norms, 0.8).collect())
+    assert stored == ["lines-linked"] * 10 and parted == whole and 0 < len(whole) < 190
+
+
 def shingles(text):
     words = re.findall(r"\w+", (text or "").lower())
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
